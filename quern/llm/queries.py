@@ -18,6 +18,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.token_count import token_counts
 
@@ -26,6 +33,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mix": op4_mix,
     "op10_token_counts": op10_token_counts,
 }
 
