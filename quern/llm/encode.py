@@ -15,13 +15,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: White space that is not one separator between two words; U+180E counts as a space in old Unicode tables.
-_IRREGULAR = re.compile(r"[\s᠎]{2}|^[\s᠎]|[\s᠎]$")
-_SAFE_CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
+#: Counts as a space in old Unicode tables only.
+_OLD_SPACE = "\u180e"
+_SAFE_CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 #: Characters of a text that are split off at a time.
 SEGMENT_CHARS = 1 << 20
 #: Words that the cache of one Python worker holds at most; a full cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 def safe_segments(text: str, size: int = SEGMENT_CHARS) -> list[str]:
@@ -43,6 +43,24 @@ def safe_segments(text: str, size: int = SEGMENT_CHARS) -> list[str]:
     return parts
 
 
+def _regular(text: str) -> bool:
+    """Whether every white space is one character between two others."""
+    words = text.split()
+    return sum(map(len, words)) + max(0, len(words) - 1) == len(text) and _OLD_SPACE not in text
+
+
+class _Index(dict):
+    """Numbers words in the order met; ``fresh`` holds those that are new."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordEncoder:
     """Token ids or token counts of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
@@ -71,7 +89,7 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.lengths = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -79,10 +97,9 @@ class WordEncoder:
     def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode unseen words, each with a space before it, many to a call."""
-        if len(self.index) + len(words) > self.cache_words:
-            self._reset()
+    def _learn(self) -> None:
+        """Encode the fresh words, each with a space before it, many to a call."""
+        words, self.index.fresh = self.index.fresh, []
         ids, lengths = [self.ids], [self.lengths]
         for k in range(0, len(words), 2000):
             block = words[k : k + 2000]
@@ -95,8 +112,6 @@ class WordEncoder:
                 n = np.diff(np.append(first, len(got)))
             ids.append(got)
             lengths.append(n)
-        base = len(self.index)
-        self.index.update(zip(words, range(base, base + len(words))))
         self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
 
@@ -105,7 +120,7 @@ class WordEncoder:
         units: list[tuple[int, str]] = []
         whole: list[bool] = []
         for i, text in enumerate(texts):
-            plain = not self.by_word or _IRREGULAR.search(text) is not None
+            plain = not self.by_word or not _regular(text)
             for part in safe_segments(text) if self.by_word and len(text) > SEGMENT_CHARS else [text]:
                 units.append((i, part))
                 whole.append(plain)
@@ -120,13 +135,11 @@ class WordEncoder:
                 body_of.append(k)
         head_ids = self._library_ids(heads) if heads else []
         flat = [w for words in bodies for w in words]
-        unseen = [w for w in dict.fromkeys(flat) if w not in self.index]
-        if unseen:
-            if len(self.index) + len(unseen) > self.cache_words:
-                self._reset()
-                unseen = list(dict.fromkeys(flat))
-            self._learn(unseen)
+        if len(self.index) > self.cache_words:
+            self._reset()
         at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        if self.index.fresh:
+            self._learn()
         lengths = self.lengths[at] if len(at) else np.zeros(0, dtype=np.int64)
         counts = np.zeros(len(texts), dtype=np.int64)
         ends = np.cumsum([len(words) for words in bodies]) if bodies else np.zeros(0, dtype=np.int64)
