@@ -25,6 +25,20 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.token_files import read_token_files, write_token_files
+
+    folder, manifest = write_token_files(_table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    return read_token_files(spark, folder, manifest)
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.topk import exact_top_k, scaled_vectors
+
+    vectors = scaled_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return exact_top_k(vectors, vectors.filter(F.col("id") % 100 == 0), 10)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.token_count import token_counts
 
@@ -34,7 +48,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
+    "op6_token_files": op6_token_files,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_exact_top_k": OP9_SQL}
