@@ -18,6 +18,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.simhash import Rule, near_duplicate_components
+
+    found = near_duplicate_components(_table(spark, sf_dir, "documents"), width=3, rule=Rule(radius=2))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import mix
 
@@ -47,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_mix": op4_mix,
     "op6_token_files": op6_token_files,
     "op9_exact_top_k": op9_exact_top_k,
