@@ -2,7 +2,8 @@
 
 A byte-level vocabulary with the standard splitting pattern never joins text across a single space that has
 non-space on both sides: the next token starts with that space. Texts are cut there, each distinct word is encoded
-once, and ids are gathered with numpy. Texts with other white space (runs, or at an end) go to the library
+once, and ids are gathered with numpy. A single line break between two words is cut before as well (the word then starts
+with it), and a comma or full stop after a letter or digit is a token of its own at a word's end. Texts with other white space (runs, or at an end) go to the library
 in whole, as does everything under a vocabulary file of another kind.
 """
 
@@ -84,7 +85,8 @@ class WordEncoder:
         )
         vocabulary = self.library.get_vocab()
         self.opens_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        self.opens_word[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.opens_word[[i for token, i in vocabulary.items() if token.startswith("Ġ") or token == "Ċ"]] = True
+        self.marks = {m: self._library_ids([m])[0] for m in ",."} if self.by_word else {}
         self.cache_words = cache_words
         self._reset()
 
@@ -99,21 +101,45 @@ class WordEncoder:
 
     def _learn(self) -> None:
         """Encode the fresh words, each with a space before it, many to a call."""
-        words, self.index.fresh = self.index.fresh, []
-        ids, lengths = [self.ids], [self.lengths]
-        for k in range(0, len(words), 2000):
-            block = words[k : k + 2000]
-            (got,) = self._library_ids([" " + " ".join(block)])
+        words, number = self.index.fresh, self.index.__getitem__
+        # A mark at the end of a word: its stem is looked up (and learned, at the end of the list) by itself.
+        marked = [(k, w[-1], number(w[:-1])) for k, w in enumerate(words) if w[-1:] in self.marks and w[-2:-1].isalnum()]
+        self.index.fresh = []
+        base = len(self.index) - len(words)
+        is_marked = np.zeros(len(words), dtype=bool)
+        is_marked[[k for k, *_ in marked]] = True
+        plain = [w for w, m in zip(words, is_marked.tolist()) if not m]
+        ids, lengths = [], []
+        for k in range(0, len(plain), 2000):
+            block = plain[k : k + 2000]
+            (got,) = self._library_ids(["".join(w if w[:1] == "\n" else " " + w for w in block)])
             first = np.flatnonzero(self.opens_word[got])
             if len(first) != len(block):  # cannot happen for such vocabularies; the library decides
-                each = self._library_ids([" " + w for w in block])
+                each = self._library_ids([w if w[:1] == "\n" else " " + w for w in block])
                 got, n = np.concatenate(each), np.array([len(x) for x in each])
             else:
                 n = np.diff(np.append(first, len(got)))
             ids.append(got)
             lengths.append(n)
-        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        # Plain words stand one after another; marked words are their stem's ids and the mark's.
+        n_plain = np.concatenate([*lengths, np.zeros(0, dtype=np.int64)])
+        new_lengths, new_starts = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        new_lengths[~is_marked] = n_plain
+        new_starts[~is_marked] = len(self.ids) + np.cumsum(n_plain) - n_plain
+        self.ids = np.concatenate([self.ids, *ids])
+        self.lengths, self.starts = np.concatenate([self.lengths, new_lengths]), np.concatenate([self.starts, new_starts])
+        if marked:
+            at, marks, stems = (np.array(x) for x in zip(*((base + k, self.marks[m][0], stem) for k, m, stem in marked)))
+            n, begin = self.lengths[stems], self.starts[stems]
+            self.lengths[at] = n + 1
+            ends = np.cumsum(n + 1)
+            self.starts[at] = len(self.ids) + ends - n - 1
+            block = np.empty(int(ends[-1]), dtype=np.uint32)
+            last = np.zeros(len(block), dtype=bool)
+            last[ends - 1] = True
+            block[last] = marks
+            block[~last] = self.ids[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            self.ids = np.concatenate([self.ids, block])
 
     def _encode(self, texts: list[str], want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Token counts by text and, if wanted, all ids in order."""
@@ -129,7 +155,7 @@ class WordEncoder:
         heads, bodies, body_of = [], [], []
         for k, (_, part) in enumerate(units):
             if not whole[k]:
-                head, *words = part.split(" ")
+                head, *words = part.replace("\n", " \n").split(" ")
                 heads.append(head)
                 bodies.append(words)
                 body_of.append(k)
