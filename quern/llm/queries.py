@@ -39,6 +39,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest)
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.topk import exact_top_k, scaled_vectors
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_mix": op4_mix,
     "op6_token_files": op6_token_files,
+    "op7_pack": op7_pack,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
