@@ -25,6 +25,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.exact import exact_groups
+
+    _, verdicts = exact_groups(_table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import mix
 
@@ -61,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_exact": op3_exact,
     "op4_mix": op4_mix,
     "op6_token_files": op6_token_files,
     "op7_pack": op7_pack,
@@ -82,4 +90,11 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_exact_top_k": OP9_SQL}
+OP3_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_exact": OP3_SQL, "op9_exact_top_k": OP9_SQL}
