@@ -39,6 +39,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import quality_scores
+
+    scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.token_files import read_token_files, write_token_files
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_exact": op3_exact,
     "op4_mix": op4_mix,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_pack": op7_pack,
     "op9_exact_top_k": op9_exact_top_k,
