@@ -13,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -22,7 +23,7 @@ _SAFE_CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 #: Characters of a text that are split off at a time.
 SEGMENT_CHARS = 1 << 20
 #: Words that the cache of one Python worker holds at most; a full cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 
 def safe_segments(text: str, size: int = SEGMENT_CHARS) -> list[str]:
@@ -200,6 +201,12 @@ class WordEncoder:
         return counts, ids
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that words stay known from task to task."""
+    return WordEncoder(path)
+
+
 def byte_balanced(rows: Iterable[tuple], size: int = 4 << 20, text_at: int = -1) -> Iterator[list[tuple]]:
     """Group rows so that their texts hold about ``size`` characters together, whatever their number."""
     held, n = [], 0

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.encode import WordEncoder, byte_balanced, text_list
+from quern.llm.encode import byte_balanced, text_list, worker_encoder
 from quern.llm.token_files import _with_end
 from quern.session import materialise
 
@@ -183,7 +183,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
         part, encoder = TaskContext.get().partitionId(), None
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer)
+            encoder = encoder or worker_encoder(tokenizer)
             done = 0
             for group in byte_balanced(((t,) for t in text_list(batch.column(1)))):
                 counts, ids = _with_end(*encoder.encode([t for (t,) in group]), end_id)

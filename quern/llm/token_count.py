@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.encode import WordEncoder, byte_balanced, text_list
+from quern.llm.encode import byte_balanced, text_list, worker_encoder
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", batch_chars: int = 4 << 20) -> DataFrame:
@@ -41,4 +41,4 @@ def _counter(tokenizer: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    return WordEncoder(tokenizer).counts
+    return worker_encoder(tokenizer).counts

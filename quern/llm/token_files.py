@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.encode import WordEncoder, byte_balanced, text_list
+from quern.llm.encode import byte_balanced, text_list, worker_encoder
 from quern.session import scratch_path
 
 #: Characters of text that one shard holds, about.
@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             done = 0
             for group in byte_balanced(((t,) for t in text_list(batch.column(1)))):
                 if writer is None:
-                    encoder = WordEncoder(tokenizer)
+                    encoder = worker_encoder(tokenizer)
                     writer = _ShardWriter(folder, number, 2 if max(len(encoder.opens_word), end_id + 1) <= 1 << 16 else 4)
                 counts, flat = _with_end(*encoder.encode([t for (t,) in group]), end_id)
                 writer.add(ids[done : done + len(group)], nulls[done : done + len(group)], counts, flat)
