@@ -25,6 +25,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.substring import drop_repeats
+
+    return drop_repeats(_table(spark, sf_dir, "documents"), k=13)
+
+
 def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.exact import exact_groups
 
@@ -75,6 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_substring": op2_substring,
     "op3_exact": op3_exact,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
