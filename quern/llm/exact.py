@@ -79,6 +79,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     # A session of its own: the state store's settings stay out of the caller's.
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    # Many small stores: no disk is set aside for logs that they never fill.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     stream = own.readStream.schema(KEYS)
     if files_per_batch:
