@@ -65,6 +65,12 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end_id=2)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.chat import format_chat
+
+    return format_chat(_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "anchor", "slot", "n_calls", "n_answered", "n_errors", "status", "message")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.topk import exact_top_k, scaled_vectors
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_pack": op7_pack,
+    "op8_chat": op8_chat,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
@@ -112,4 +119,13 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_exact": OP3_SQL, "op9_exact_top_k": OP9_SQL}
+#: For tables whose texts hold no tool calls, as the given ones: then every message is its own anchor.
+OP8_SQL = """
+SELECT conv_id, turn, coalesce(role, 'unknown') AS role, turn AS anchor, 0 AS slot,
+       CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_answered, CAST(0 AS BIGINT) AS n_errors,
+       CASE WHEN role = 'tool' THEN 'unmarked' END AS status,
+       '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(coalesce(role, 'unknown')) || '}' AS message
+FROM conversations
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_exact": OP3_SQL, "op8_chat": OP8_SQL, "op9_exact_top_k": OP9_SQL}
