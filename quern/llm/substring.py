@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.session import materialise
 
 #: Words of a minimiser; windows of a packed string at most; buckets of a task; bytes of text of a task, and of a batch, about.
-MINIMISER_WORDS, RUN_WINDOWS, TASK_BUCKETS, TASK_BYTES, BATCH_BYTES = 2, 2048, 16, 32 << 20, 8 << 20
+MINIMISER_WORDS, RUN_WINDOWS, TASK_BUCKETS, TASK_BYTES, BATCH_BYTES = 2, 2048, 12, 32 << 20, 5 << 20
 #: Ranks after every document id: rows without an id.
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -126,13 +126,23 @@ def _runs(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(cut)))
 
 
+def _planes(column: np.ndarray, delta: bool) -> bytes:
+    """64-bit numbers, or their steps, as eight planes of bytes: small numbers leave planes of zeros."""
+    x = column.astype("<i8")
+    return np.ascontiguousarray((np.diff(x, prepend=0) if delta else x).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def _pack(columns: list[np.ndarray], payload: bytes) -> bytes:
-    """Columns of 64-bit numbers and a payload, compressed."""
+    """Columns of 64-bit numbers (ids by their steps) and a payload, compressed."""
     import pyarrow as pa
 
-    head = np.array([len(columns), *map(len, columns)], dtype="<i8").tobytes() + b"".join(c.astype("<i8").tobytes() for c in columns)
+    head = np.array([len(columns), *map(len, columns)], dtype="<i8").tobytes() + b"".join(_planes(c, i in _IDS) for i, c in enumerate(columns))
     raw = head + payload
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+#: Columns of a blob that hold ids: of strings and of runs.
+_IDS = (0, 3)
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -142,8 +152,9 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes = np.frombuffer(raw, "<i8", n, 8)
     at, columns = 8 * (n + 1), []
-    for size in sizes.tolist():
-        columns.append(np.frombuffer(raw, "<i8", size, at))
+    for i, size in enumerate(sizes.tolist()):
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T).view("<i8").reshape(-1)
+        columns.append(np.cumsum(x) if i in _IDS else x)
         at += 8 * size
     return columns, raw[at:]
 
