@@ -89,24 +89,30 @@ def phrase_overlap(query: Column, passage: Column) -> Column:
     return F.bround(containment(bigrams(query), bigrams(passage)), 4)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def proximity(query: Column, passage: Column, horizon: int = PROXIMITY_HORIZON) -> Column:
     """How close together the passage holds all the query terms that it has: 1 side by side, 0 beyond the horizon.
 
-    One pass keeps each matched term's last position; the narrowest span that ends at any position is the least.
+    One pass over the matched positions keeps each term's last; the narrowest span that ends at any position is the least.
     """
-    wanted = F.array_intersect(query, passage)
-    n = F.size(wanted)
-    begin = F.struct(F.lit(0).alias("at"), F.transform(wanted, lambda _: F.lit(-1)).alias("last"), F.lit(1 << 30).alias("best"))
-
-    def step(s: Column, term: Column) -> Column:
-        i = F.array_position(wanted, term)
-        last = F.when(i > 0, F.transform(s["last"], lambda x, k: F.when(k == i - 1, s["at"]).otherwise(x))).otherwise(s["last"])
-        span = F.when((i > 0) & (F.array_min(last) >= 0), s["at"] - F.array_min(last) + 1).otherwise(F.lit(1 << 30))
-        return F.struct((s["at"] + 1).alias("at"), last.alias("last"), F.least(s["best"], span.cast("int")).alias("best"))
-
-    best = F.aggregate(passage, begin, step, lambda s: s["best"])
-    spread = F.bround(1 - (best - n) / (horizon - n).cast("double"), 4)
-    return F.when(n == 0, 0.0).when(n == 1, 0.5).when(best <= n, 1.0).when(best >= horizon, 0.0).otherwise(spread)
+
+    def of(wanted: Column) -> Column:
+        matched = F.filter(F.transform(passage, lambda t, i: F.struct(i.alias("at"), F.array_position(wanted, t).cast("int").alias("term"))), lambda m: m["term"] > 0)
+        begin = F.struct(F.transform(wanted, lambda _: F.lit(-1)).alias("last"), F.lit(1 << 30).alias("best"))
+
+        def step(s: Column, m: Column) -> Column:
+            last = F.transform(s["last"], lambda x, k: F.when(k + 1 == m["term"], m["at"]).otherwise(x))
+            return let(last, lambda v: F.struct(v.alias("last"), F.least(s["best"], let(F.array_min(v), lambda low: F.when(low >= 0, m["at"] - low + 1).otherwise(1 << 30))).alias("best")))
+
+        n = F.size(wanted)
+        spread = lambda best: F.when(best <= n, 1.0).when(best >= horizon, 0.0).otherwise(F.bround(1 - (best - n) / (horizon - n).cast("double"), 4))
+        return F.when(n == 0, 0.0).when(n == 1, 0.5).otherwise(let(F.aggregate(matched, begin, step, lambda s: s["best"]), spread))
+
+    return let(F.array_intersect(query, passage), of)
 
 
 def rank_prior(rank: Column, damping: int = RANK_DAMPING) -> Column:

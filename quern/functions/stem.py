@@ -109,8 +109,13 @@ def with_stem(vocabulary: DataFrame, token: str = "token", out: str = "stem") ->
 
 
 def stem_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """(token, stem) of every distinct token."""
-    return with_stem(tokens.select(F.col(token).alias("token")).filter("token is not null").distinct())
+    """(token, stem) of every distinct token.
+
+    Distinct tokens are dealt anew by a fixed number of parts: stemming is work for the cores, not for the few parts that so small a
+    table would be merged into.
+    """
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_stem(tokens.select(F.col(token).alias("token")).filter("token is not null").distinct().repartition(parts, "token"))
 
 
 def join_stems(rows: DataFrame, token: str, out: str = "stem") -> DataFrame:

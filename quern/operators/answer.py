@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import scores, text
 from quern.operators import citations
 from quern.operators.terms import query_terms, stem_lists
+from quern.session import materialise
 
 # Thresholds of extraction and support, the refusal sentence, and words that only connect.
 MIN_OVERLAP, DUPLICATE, FLOOR_RATIO, MOST_SENTENCES, MOST_TOKENS = 0.30, 0.80, 0.55, 4, 900
@@ -20,6 +21,7 @@ DISCOURSE = "also consequently conversely furthermore however meanwhile moreover
 def sentence_candidates(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, marker, pos, sentence, terms, tokens, score) of each sentence of passages (qid, marker, body)."""
     told = passages.filter("marker is not null").select("qid", "marker", F.posexplode(text.sentences("body")).alias("pos", "sentence"))
+    told = materialise(told, "sentences")
     terms = stem_lists(told.select("sentence").distinct().withColumn("sid", F.xxhash64("sentence")), "sid", "sentence")
     joined = told.withColumn("sid", F.xxhash64("sentence")).join(terms, "sid").join(query_terms(queries).withColumnRenamed("terms", "q"), "qid")
     return joined.select("qid", "marker", "pos", "sentence", "terms", text.token_estimate("sentence").alias("tokens"), scores.sentence_score(F.col("q"), F.col("terms"), F.col("marker")).alias("score"))
@@ -67,6 +69,7 @@ def check_support(answers: DataFrame, passages: DataFrame, threshold: float = SU
     """
     said = answers.select("qid", F.posexplode(citations.cited_sentences("answer")).alias("pos", "sentence"))
     said = said.withColumn("bare", citations.strip_markers("sentence")).withColumn("sid", F.xxhash64("bare")).withColumn("found", citations.markers("sentence"))
+    said = materialise(said, "answer-sentences")
     s_terms = stem_lists(said.select("sid", "bare").dropDuplicates(["sid"]), "sid", "bare", "s_terms")
     shown = passages.filter("marker is not null").withColumn("pid", F.xxhash64("body"))
     p_terms = stem_lists(shown.select("pid", "body").dropDuplicates(["pid"]), "pid", "body", "p_terms")

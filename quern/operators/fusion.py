@@ -80,7 +80,7 @@ def hybrid(dense: DataFrame | None, keyword: DataFrame | None, mode: str = "hybr
 
 def contribution_of(name: str, field: str):
     """A retriever's rank or score in a fused hit, null if it has none."""
-    return F.filter("contributions", lambda c: c["retriever"] == name)[0][field]
+    return F.get(F.filter("contributions", lambda c: c["retriever"] == name), F.lit(0))[field]
 
 
 def top_dense_score(fused: DataFrame) -> DataFrame:

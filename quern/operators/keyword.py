@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores, text
 from quern.functions.stem import join_stems
+from quern.session import materialise
 
 
 @dataclass(frozen=True)
@@ -29,11 +30,14 @@ def term_rows(rows: DataFrame, id_column: str, text_column: str, stemmed: bool =
 
 
 def build_index(chunks: DataFrame, id_column: str = "id", text_column: str = "text", stemmed: bool = True, content: bool = True) -> KeywordIndex:
-    """Index all chunks; those without terms have length 0 and count towards the mean. Null texts are empty."""
-    postings = term_rows(chunks, id_column, text_column, stemmed, content).groupBy("term", "id").agg(F.sum("n").alias("tf"))
+    """Index all chunks; those without terms have length 0 and count towards the mean. Null texts are empty.
+
+    Both tables are written to the shared folder, so that texts are read and tokens stemmed once for all searches.
+    """
+    postings = materialise(term_rows(chunks, id_column, text_column, stemmed, content).groupBy("term", "id").agg(F.sum("n").alias("tf")), "postings")
     long = postings.groupBy(F.col("id").alias("i")).agg(F.sum("tf").alias("dl"))
     ids = chunks.select(F.col(id_column).cast("string").alias("id")).distinct()
-    return KeywordIndex(postings, ids.join(long, F.col("id") == F.col("i"), "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")))
+    return KeywordIndex(postings, materialise(ids.join(long, F.col("id") == F.col("i"), "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths"))
 
 
 def index_stats(index: KeywordIndex) -> DataFrame:
@@ -69,9 +73,10 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 24, idf: str = "bm2
     postings, lengths = index.postings, index.lengths
     if allowed is not None:
         postings = postings.join(allowed.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
-    hits = terms.join(weights, "term").join(postings, "term").join(lengths, "id")
-    part = F.col("idf") * scores.bm25_tf(F.col("tf"), F.col("dl"), F.col("mean"))
-    found = [F.sum(part).alias("score")]
+    # The weight of a posting does not depend on the query: it is worked out once, before queries multiply the rows.
+    weighted = postings.join(weights, "term").join(lengths, "id").select("term", "id", (F.col("idf") * scores.bm25_tf(F.col("tf"), F.col("dl"), F.col("mean"))).alias("part"))
+    hits = terms.join(weighted, "term")
+    found = [F.sum("part").alias("score")]
     if matched:
         found.append(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("term", "word"))), lambda x: x["word"]), " ").alias("matched"))
     return ranked(hits.groupBy("qid", "id").agg(*found).filter("score > 0"), k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores
 from quern.operators.terms import query_terms, stem_lists
+from quern.session import materialise
 
 MOST_CHARS = 4000
 
@@ -30,6 +31,7 @@ def signals(queries: DataFrame, candidates: DataFrame, most_chars: int = MOST_CH
 
     Each distinct passage and heading is stemmed once, however many queries it is a candidate of.
     """
+    candidates = materialise(candidates, "candidates")
     passages = candidates.select("id", F.substring("text", 1, most_chars).alias("text"), "heading").dropDuplicates(["id"])
     terms = stem_lists(passages, "id", "text", "p_terms").join(stem_lists(passages, "id", "heading", "h_terms", content=False), "id")
     joined = candidates.join(query_terms(queries).withColumnRenamed("terms", "q_terms"), "qid").join(terms, "id")
@@ -62,13 +64,12 @@ def model_rerank(queries: DataFrame, candidates: DataFrame, predict: Callable[[S
     """Order by ``predict(pairs of question and passage)``, a cross-encoder of the caller's, called on Arrow batches."""
     pairs = candidates.join(queries.select("qid", "question"), "qid").withColumn("_p", F.substring("text", 1, most_chars))
 
-    def run(batches):
-        for q, p in batches:
-            import pandas as pd
+    import pandas as pd
 
-            yield pd.Series([float(x) for x in predict(list(zip(q, p)))])
+    def run(q, p):
+        return pd.Series([float(x) for x in predict(list(zip(q, p)))])
 
-    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    score = F.pandas_udf(run, "double")
     return _reorder(pairs.withColumn("rerank_score", score("question", "_p")).drop("question", "_p"), top_n)
 
 

@@ -86,7 +86,7 @@ Q = "SELECT CAST(item_id AS VARCHAR) AS qid, text AS question FROM benchmark"
 
 def _index(stemmed: bool, contents: bool) -> str:
     of = content if contents else tok
-    parts = [f"dt AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({of('text')}) AS token FROM documents)", f"qt AS MATERIALIZED (SELECT qid, unnest({of('question')}) AS token FROM ({Q}))", "allt AS (SELECT token FROM dt UNION SELECT token FROM qt)"]
+    parts = [f"dt AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({of('text')}) AS token FROM documents)", f"qt AS MATERIALIZED (SELECT qid, unnest({of('question')}) AS token FROM ({Q}))", f"allt AS (SELECT token FROM dt UNION SELECT token FROM qt UNION SELECT unnest({of('left(text, 4000)')}) FROM documents)"]
     if stemmed:
         parts.append(stems("allt"))
     else:
@@ -140,7 +140,7 @@ _PROXIMITY = (
     "occ AS (SELECT pairs.qid, pairs.id, i AS pos, p[i] AS t FROM pairs, unnest(range(1, len(p) + 1)) AS r(i) WHERE list_contains(q, p[i])), "
     "ends AS (SELECT DISTINCT qid, id, pos FROM occ), "
     "lastp AS (SELECT ends.qid, ends.id, ends.pos, mt.t, max(occ.pos) AS lp FROM ends JOIN mt USING (qid, id) LEFT JOIN occ ON occ.qid = ends.qid AND occ.id = ends.id AND occ.t = mt.t AND occ.pos <= ends.pos GROUP BY ALL), "
-    "spans AS (SELECT qid, id, pos, CASE WHEN count(lp) = count(*) THEN pos - min(lp) + 1 END AS span FROM lastp GROUP BY ALL), "
+    "spans AS (SELECT qid, id, pos, CASE WHEN count(lp) = count(*) THEN pos - min(lp) + 1 END AS span FROM lastp GROUP BY qid, id, pos), "
     "best AS (SELECT qid, id, min(span) AS best FROM spans GROUP BY ALL), "
     "prox AS (SELECT pairs.qid, pairs.id, len(list_intersect(list_distinct(q), p)) AS n, best FROM pairs LEFT JOIN best USING (qid, id)), "
     "proximity AS (SELECT qid, id, CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 WHEN best <= n THEN 1.0 WHEN best >= 60 THEN 0.0 ELSE round_even(1 - (best - n) / (60.0 - n)::DOUBLE, 4) END AS proximity FROM prox)"

@@ -11,6 +11,7 @@ from quern.functions import scores, text
 from quern.functions.stem import stem_vocabulary
 from quern.operators import answer, chunking, citations, context, dense, fusion, hashing, keyword, rerank, tables
 from quern.operators.terms import query_terms, stem_lists
+from quern.session import materialise, spread
 from quern.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def asked(spark, d) -> DataFrame:
@@ -309,7 +310,8 @@ def groundedness(spark, d):
 
 def _packed(spark, d) -> DataFrame:
     ranked = rerank.heuristic_rerank(asked(spark, d), _candidates(spark, d), 10)
-    return context.pack_context(ranked.select("qid", "id", "document_id", F.col("document_id").alias("label"), "text", F.col("new_rank").alias("rank")))
+    ranked = ranked.select("qid", "id", "document_id", F.col("document_id").alias("label"), "text", F.col("new_rank").alias("rank"))
+    return materialise(context.pack_context(ranked), "packed")
 
 
 @query

@@ -50,3 +50,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan over all cores; a scan that has as many parts already stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
