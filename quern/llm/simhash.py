@@ -21,7 +21,8 @@ from quern.session import materialise
 
 #: Rows of a tile's two sides, about; shingles that are hashed at a time; compared pairs at a time.
 TILE_LEFT, TILE_RIGHT, SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 8192, 16384, 1 << 15, 1 << 20
-_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
+#: Odd multipliers of the words after the first, by rule.
+_MIXERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) ^ (0xC2B2AE3D27D4EB4F << j)) % (1 << 64) | 1 for j in range(31)], dtype=np.uint64)
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -231,7 +232,7 @@ def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int
     return rows.join(labels, F.col("node") == F.col("k"), "left").select("id", "h", "word", "sig", "n", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
     Texts link if their sets of ``width``-word shingles are estimated to overlap by ``similarity`` (Jaccard) or more:
