@@ -226,7 +226,7 @@ SQL: dict[str, str] = {
     "dense_topk": _dense() + "SELECT qid, id, score, CAST(rank AS BIGINT) AS rank FROM d",
     "dense_filtered": _dense("c.label IN (1, 2)") + "SELECT qid, id, score, CAST(rank AS BIGINT) AS rank FROM d",
     "vector_norms": f"SELECT vec_id, round_even({_NORM.format('embedding')}, 6) AS norm FROM embeddings",
-    "similarity_bands": _dense() + "SELECT qid, id, round_even((score + 1) / 2, 6) AS confidence, CASE WHEN score >= 0.55 THEN 'strong' WHEN score >= 0.28 THEN 'moderate' ELSE 'weak' END AS band FROM d",
+    "similarity_bands": _dense() + "SELECT qid, id, (score + 1) / 2 AS confidence, CASE WHEN score >= 0.55 THEN 'strong' WHEN score >= 0.28 THEN 'moderate' ELSE 'weak' END AS band FROM d",
     "evidence_gate": _dense() + "SELECT qid, count(*) AS n_hits, max(score) AS top_score, CASE WHEN max(score) < 0.16 THEN 'weak_match' ELSE 'ok' END AS status FROM d WHERE qid <> id GROUP BY qid",
     "rrf_fusion": f"{_LISTS}, {_fusion('rrf')} SELECT qid, id, score, rank FROM fused WHERE rank <= 40",
     "weighted_fusion": f"{_LISTS}, {_fusion('weighted')} SELECT qid, id, score, rank FROM fused WHERE rank <= 40",

@@ -189,7 +189,8 @@ def vector_norms(spark, d):
 
 @query
 def similarity_bands(spark, d):
-    return _dense(spark, d).select("qid", "id", scores.confidence(F.col("score")).alias("confidence"), scores.band(F.col("score")).alias("band"))
+    # Scores have six places already; half of one more than them is exact, and rounding it again would only meet ties.
+    return _dense(spark, d).select("qid", "id", ((F.col("score") + 1) / 2).alias("confidence"), scores.band(F.col("score")).alias("band"))
 
 
 @query
