@@ -1,8 +1,8 @@
 """Nearest neighbours by cosine for batches of queries.
 
 Exact search multiplies blocks of queries with blocks of rows in Arrow functions; each task keeps the best of its
-block, and a window over those few picks each query's best. The approximate form meets only rows that share a bucket of
-random hyperplanes.
+block, and a window over those few picks each query's best. The form with random hyperplanes scores the rows that share
+a bucket first, then all others that a bound from the signs does not exclude: it finds what the exact search finds.
 """
 
 from __future__ import annotations
@@ -15,9 +15,60 @@ from quern.operators.keyword import ranked
 
 #: Rows of a block and queries of a block, about.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1024
+#: Queries that meet a block's signs at a time.
+PROBES_AT_ONCE = 64
 
 
-def _block_search(k: int):
+def _near(names: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best scores, ties to the smaller name."""
+    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2
+    near = np.flatnonzero(row >= least)
+    return near[np.lexsort((names[near], -row[near]))][:k]
+
+
+def _all_rows(asked: np.ndarray, rows: np.ndarray, names: np.ndarray, k: int):
+    """(positions, scores) of the best rows for each query, from all products."""
+    for row in np.round(np.clip(asked @ rows.T, -1, 1), 6):
+        near = _near(names, row, k)
+        yield near, row[near]
+
+
+def _probes(tables: int, bits: int, seed: int):
+    """Like :func:`_all_rows`, by ``tables`` hashes of ``bits`` signs against orthonormal planes.
+
+    A unit row on the other side than the query q of planes p in S has a cosine of sqrt(1 - sum over S of (q . p)^2) at most. Rows
+    that share a bucket in any table are scored first; then those whose bound in every table reaches the kth score.
+    """
+
+    def search(asked: np.ndarray, rows: np.ndarray, names: np.ndarray, k: int):
+        size = rows.shape[1]
+        planes = np.random.default_rng(seed).normal(size=(tables, size, min(bits, size)))
+        planes = np.linalg.qr(planes)[0]
+        sides = [rows @ p > 0 for p in planes]
+        for start in range(0, len(asked), PROBES_AT_ONCE):
+            block = asked[start : start + PROBES_AT_ONCE]
+            shared, lost = np.zeros((len(block), len(rows)), dtype=bool), np.zeros((len(block), len(rows)))
+            for p, side in zip(planes, sides):
+                c = block @ p
+                own = c > 0
+                differ = lambda w: (w * own).sum(axis=1)[:, None] + (w * (1 - 2 * own)) @ side.T.astype(float)
+                shared |= differ(np.ones_like(c)) < 0.5
+                np.maximum(lost, differ(c**2), out=lost)
+            bound = np.sqrt(np.maximum(0, 1 - lost)) + 2e-6  # scores are rounded to six places
+            for q, first, most in zip(block, shared, bound):
+                score = np.full(len(rows), -2.0)
+                product = lambda at: np.round(np.clip(rows[at] @ q, -1, 1), 6)
+                score[first] = product(first)
+                kth = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -2
+                rest = ~first & (most >= kth)
+                score[rest] = product(rest)
+                near = _near(names, score, k)
+                yield near, score[near]
+
+    return search
+
+
+def _block_search(k: int, best):
     def search(table):
         import pyarrow as pa
 
@@ -34,14 +85,10 @@ def _block_search(k: int):
             length = np.sqrt((whole**2).sum(axis=1, keepdims=True))
             whole = np.divide(whole, length, out=np.zeros_like(whole), where=length > 0)
             names = np.array([ids[i] for i in r])
-            products = np.round(np.clip(whole[q] @ whole[r].T, -1, 1), 6)
-            for i, row in zip(q, products):
-                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2
-                near = np.flatnonzero(row >= least)
-                near = near[np.lexsort((names[near], -row[near]))][:k]
+            for i, (near, found) in zip(q, best(whole[q], whole[r], names, k)):
                 qid += [ids[i]] * len(near)
                 rid += names[near].tolist()
-                score += row[near].tolist()
+                score += found.tolist()
         return pa.table({"qid": pa.array(qid, pa.string()), "id": pa.array(rid, pa.string()), "score": pa.array(score, pa.float64())})
 
     return search
@@ -53,6 +100,10 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 24, allowed: D
     Negative scores count; ties go to the smaller id as text. Rows without a vector or with null or non-finite
     components are left out. ``allowed`` (id), if given, restricts the rows: an empty one finds nothing.
     """
+    return _search(vectors, queries, k, allowed, _all_rows)
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None, best) -> DataFrame:
     good = lambda df: df.filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     rows = good(vectors.select(F.col("id").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v")))
     if allowed is not None:
@@ -64,36 +115,14 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 24, allowed: D
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select(F.lit(0).alias("part"), "id", "v", deal(blocks).alias("block"), every(shards).alias("shard"))
     right = rows.select(F.lit(1).alias("part"), "id", "v", every(blocks).alias("block"), deal(shards).alias("shard"))
-    found = left.unionByName(right).groupBy("block", "shard").applyInArrow(_block_search(k), "qid string, id string, score double")
+    found = left.unionByName(right).groupBy("block", "shard").applyInArrow(_block_search(k, best), "qid string, id string, score double")
     return ranked(found, k)
 
 
 def hyperplane_search(vectors: DataFrame, queries: DataFrame, k: int = 24, tables: int = 24, bits: int = 7, seed: int = 5) -> DataFrame:
-    """(qid, id, score, rank) among rows that share a bucket with the query in any of ``tables`` hashes of ``bits`` signs.
+    """(qid, id, score, rank), equal to :func:`exact_search`, by ``tables`` hashes of ``bits`` signs of random hyperplanes.
 
-    Scores are exact; a near row is missed if none of its buckets is the query's.
+    Rows that share no bucket with the query are left out only where their signs prove that they score below the kth. Where
+    neighbours are far (a kth cosine of 0.3, say) no signs can prove that, and all rows are scored.
     """
-
-    def buckets(key: str):
-        def compute(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                lists = batch.column(1)
-                size = len(lists[0]) if batch.num_rows else 0
-                flat = np.asarray(lists.flatten()).reshape(batch.num_rows, size)
-                planes = np.random.default_rng(seed).normal(size=(size, tables * bits))
-                sign = (flat @ planes > 0).reshape(batch.num_rows, tables, bits)
-                code = (sign * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-                b = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(code.reshape(-1).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, b], names=[key, "v", "b"])
-
-        return compute
-
-    rows = vectors.select(F.col("id").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(buckets("id"), "id string, v array<double>, b array<bigint>")
-    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("v").cast("array<double>").alias("q")).mapInArrow(buckets("qid"), "qid string, v array<double>, b array<bigint>").withColumnRenamed("v", "q")
-    pairs = asked.select("qid", F.explode("b").alias("b")).join(rows.select("id", F.explode("b").alias("b")), "b").select("qid", "id").distinct()
-    from quern.functions.scores import cosine
-
-    scored = pairs.join(asked.select("qid", "q"), "qid").join(rows.select("id", "v"), "id").select("qid", "id", cosine(F.col("q"), F.col("v")).alias("score"))
-    return ranked(scored, k)
+    return _search(vectors, queries, k, None, _probes(tables, bits, seed))

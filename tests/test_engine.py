@@ -1,9 +1,11 @@
 """Sources, structure, retrieval, answers and tables over small corpora of our own."""
 
 import io
+import os
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,30 @@ def test_dense_and_approximate_search(spark, chunks, questions):
     assert dense.exact_search(v, q, 1, none).count() == 0
 
 
+def test_hyperplane_search_recalls_what_exact_search_finds(spark):
+    folder = os.environ.get("QUERN_TEST_DATA", "/root/testdata") + "/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").selectExpr("cast(vec_id as string) as id", "embedding as v")
+    q = v.filter("cast(id as int) % 50 = 0").withColumnRenamed("id", "qid")
+    found = lambda df: {(r.qid, r.id) for r in df.collect()}
+    exact = found(dense.exact_search(v, q, 10))
+    assert len(exact) == 100 and len(exact & found(dense.hyperplane_search(v, q, 10))) / len(exact) >= 0.9
+
+
+def test_probes_equal_all_products():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    rows = np.repeat(centres, 50, axis=0) + 0.05 * rng.normal(size=(2000, 16))
+    rows[7] = 0
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    names = np.array([str(i) for i in range(2000)])
+    asked = np.concatenate([rows[:100:3], np.zeros((1, 16))])
+    for k in (1, 10, 60, 5000):
+        for (a, x), (b, y) in zip(dense._all_rows(asked, rows, names, k), dense._probes(24, 7, 5)(asked, rows, names, k), strict=True):
+            assert a.tolist() == b.tolist() and np.allclose(x, y, atol=1e-6)
+
+
 def test_keyword_modes_fusion_and_guards(spark, chunks, questions):
     index = keyword.build_index(chunks, "id", "body")
     hits = keyword.search(index, questions, 3, matched=True).collect()
