@@ -44,13 +44,29 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[: len(part) - width + 1].tolist(), ends[width - 1 :].tolist())), dtype=np.uint64, count=len(part) - width + 1)
 
 
-def fingerprint(text: bytes, width: int, bits: int = 64) -> tuple[bytes, int]:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in ascending order."""
+    found = list(shingle_hashes(text.lower().split(), width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+def fingerprint(text: bytes, width: int, bits: int = 64, distinct: bool = False) -> tuple[bytes, int]:
     """(little-endian bytes of a fingerprint, number of shingles): a bit is 1 if set in over half of the hashes.
 
-    Bits beyond the first 64 come from the same hashes, multiplied by odd constants and folded.
+    Bits beyond the first 64 come from the same hashes, multiplied by odd constants and folded. With ``distinct`` each
+    shingle votes and counts once, however often the text repeats it.
     """
+    return _vote(_slices(shingle_set(text, width)) if distinct else shingle_hashes(text.lower().split(), width), bits)
+
+
+def _slices(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    for k in range(0, len(hashes), SHINGLES_AT_ONCE):
+        yield hashes[k : k + SHINGLES_AT_ONCE]
+
+
+def _vote(blocks: Iterable[np.ndarray], bits: int) -> tuple[bytes, int]:
     ones, n = np.zeros(bits, dtype=np.int64), 0
-    for h in shingle_hashes(text.lower().split(), width):
+    for h in blocks:
         wide = np.empty((len(h), bits // 64), dtype="<u8")
         wide[:, 0] = h
         for j in range(1, bits // 64):
@@ -63,7 +79,7 @@ def fingerprint(text: bytes, width: int, bits: int = 64) -> tuple[bytes, int]:
     return np.packbits(ones * 2 > n, bitorder="little").tobytes(), n
 
 
-def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
     """(id, h, word, sig binary, n) of every row; h is the hash of the text as it stands, word the first 64 bits of sig.
 
     A-Z are lower-cased, words are runs of bytes other than space and 0x09 to 0x0D. Null texts count as empty; texts
@@ -76,7 +92,7 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "
         import pyarrow as pa
 
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", width, bits) for t in batch.column(2)]
+            found = [fingerprint(t.as_py() or b"", width, bits, distinct) for t in batch.column(2)]
             words = [int.from_bytes(s[:8], "little", signed=True) for s, _ in found]
             columns = [batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array([s for s, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "word", "sig", "n"])
@@ -212,7 +228,7 @@ def similar_links(nodes: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int = 64, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
     """(id, h, word, sig, n, component_id) of every row; component_id is the smallest id reachable by links.
 
     Equal fingerprints (and sizes, if the rule has a ratio) are one node, so groups of copies cost one row. Null and
@@ -220,7 +236,7 @@ def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int
     named after its smallest id that is not null (null if it has none). Repeated rows give repeated rows; an empty
     table an empty result; other columns are not read.
     """
-    rows = materialise(fingerprints(docs, width, bits, id_column, text_column), "fingerprints")
+    rows = materialise(fingerprints(docs, width, bits, id_column, text_column, distinct), "fingerprints")
     # A 64-bit fingerprint names its node; longer ones, and those with sizes, are named by a hash.
     node = F.col("word") if bits == 64 and not rule.ratio else F.xxhash64("sig", "n")
     rows = rows.withColumn("node", node)
@@ -242,7 +258,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, b
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = lambda n: math.sqrt(n * share * (1 - share))
     rule = Rule(round(bits * share + 0.5 * spread(bits)), similarity, round(64 * share + 3 * spread(64)))
-    found = near_duplicate_components(docs, width, rule, bits, id_column, text_column)
+    found = near_duplicate_components(docs, width, rule, bits, id_column, text_column, distinct=True)
     # Components without any id are told apart by their fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.hex("sig"))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "h")

@@ -111,3 +111,10 @@ def test_keep_one_of_each(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([*range(60), None, 300], key=str)
     assert keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_repeated_passages_do_not_hide_a_near_copy(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:60])), (3, " ".join(f"x{i}" for i in range(100)))]
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
