@@ -24,7 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at an estimated similarity of 0.8 or more, the one with the smallest id."""
+    """Of documents linked by five-word shingles whose sets overlap by 0.8 (Jaccard) or more, the one with the smallest id."""
     return keep_one_of_each(docs, width=5, similarity=0.8)
 
 

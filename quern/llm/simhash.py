@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -21,6 +22,8 @@ from quern.session import materialise
 
 #: Rows of a tile's two sides, about; shingles that are hashed at a time; compared pairs at a time.
 TILE_LEFT, TILE_RIGHT, SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 8192, 16384, 1 << 15, 1 << 20
+#: Rows and shingles of a block of sets, about.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
 #: Odd multipliers of the words after the first, by rule.
 _MIXERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 3) ^ (0xC2B2AE3D27D4EB4F << j)) % (1 << 64) | 1 for j in range(31)], dtype=np.uint64)
 
@@ -80,7 +83,7 @@ def _vote(blocks: Iterable[np.ndarray], bits: int) -> tuple[bytes, int]:
 
 
 def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
-    """(id, h, word, sig binary, n) of every row; h is the hash of the text as it stands, word the first 64 bits of sig.
+    """(id, h, word, sig binary, n[, set]) of every row, set (a hash of the set of shingles) if ``distinct``; h is the hash of the text as it stands, word the first 64 bits of sig.
 
     A-Z are lower-cased, words are runs of bytes other than space and 0x09 to 0x0D. Null texts count as empty; texts
     without words have a fingerprint of zeros and no shingles.
@@ -90,14 +93,24 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "
 
     def compute(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", width, bits, distinct) for t in batch.column(2)]
+            found, named = [], []
+            for t in batch.column(2):
+                if distinct:
+                    hashes = shingle_set(t.as_py() or b"", width)
+                    named.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                    found.append(_vote(_slices(hashes), bits))
+                else:
+                    found.append(fingerprint(t.as_py() or b"", width, bits))
             words = [int.from_bytes(s[:8], "little", signed=True) for s, _ in found]
             columns = [batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array([s for s, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "word", "sig", "n"])
+            if distinct:
+                columns.append(pa.array(np.array(named, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "word", "sig", "n", "set"][: len(columns)])
 
-    return rows.mapInArrow(compute, f"id {kind}, h bigint, word bigint, sig binary, n bigint")
+    return rows.mapInArrow(compute, f"id {kind}, h bigint, word bigint, sig binary, n bigint" + ", set bigint" * distinct)
 
 
 @dataclass(frozen=True)
@@ -106,8 +119,15 @@ class Rule:
 
     radius: int
     ratio: float = 0.0
-    #: Bits of the first word that may differ before the others are looked at.
+    #: Bits of the first words (three at most) that may differ before the others are looked at.
     first_radius: int = 64
+    first_words: int = 1
+    #: The radius by the larger size n, if it depends on that; the last one holds beyond.
+    radii: tuple[int, ...] = ()
+
+    def near(self, differing: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether so many bits may differ between sizes x and y."""
+        return differing <= (np.array(self.radii)[np.minimum(np.maximum(x, y), len(self.radii) - 1).astype(np.int64)] if self.radii else self.radius)
 
     def classes(self, word: Column, n: Column) -> tuple[Column, list[int]]:
         """A class number, and what to subtract from it for the classes (itself first) that a row must meet as the right side."""
@@ -151,16 +171,16 @@ def tile_links(left: tuple, right: tuple, rule: Rule) -> tuple[np.ndarray, np.nd
     step = max(1, PAIRS_AT_ONCE // max(1, len(right[0])))
     for k in range(0, m, step):
         block = slice(k, min(k + step, m))
-        near = np.bitwise_count(left[1][block, 0][:, None] ^ right[1][:, 0][None, :]) <= min(rule.radius, rule.first_radius)
-        a, b = np.nonzero(near)
+        differing = sum(np.bitwise_count(left[1][block, w][:, None] ^ right[1][:, w][None, :]) for w in range(rule.first_words))
+        a, b = np.nonzero(differing <= min(rule.radius, rule.first_radius))
         a += k
         keep = left[0][a] != right[0][b]
         if rule.ratio:
             x, y = left[2][a], right[2][b]
-            keep &= np.minimum(x, y) >= rule.ratio * np.maximum(x, y)
+            keep &= np.minimum(x, y) >= rule.ratio * np.maximum(x, y) - 1e-9
         a, b = a[keep], b[keep]
         if left[1].shape[1] > 1 and len(a):
-            keep = np.bitwise_count(left[1][a] ^ right[1][b]).sum(axis=1, dtype=np.int64) <= rule.radius
+            keep = rule.near(np.bitwise_count(left[1][a] ^ right[1][b]).sum(axis=1, dtype=np.int64), left[2][a], right[2][b])
             a, b = a[keep], b[keep]
         _merge(labels, a, b + m)
     linked = ids[labels] != ids
@@ -228,7 +248,7 @@ def similar_links(nodes: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int = 64, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, h, word, sig, n, component_id) of every row; component_id is the smallest id reachable by links.
 
     Equal fingerprints (and sizes, if the rule has a ratio) are one node, so groups of copies cost one row. Null and
@@ -236,31 +256,158 @@ def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int
     named after its smallest id that is not null (null if it has none). Repeated rows give repeated rows; an empty
     table an empty result; other columns are not read.
     """
-    rows = materialise(fingerprints(docs, width, bits, id_column, text_column, distinct), "fingerprints")
+    rows = materialise(fingerprints(docs, width, bits, id_column, text_column), "fingerprints")
     # A 64-bit fingerprint names its node; longer ones, and those with sizes, are named by a hash.
     node = F.col("word") if bits == 64 and not rule.ratio else F.xxhash64("sig", "n")
     rows = rows.withColumn("node", node)
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("word").alias("word"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
-    roots = connected_components(similar_links(nodes.select(F.col("node").alias("id"), "word", "sig", "n"), rule)).withColumnRenamed("id", "k")
+    return _named(rows, nodes, connected_components(similar_links(nodes.select(F.col("node").alias("id"), "word", "sig", "n"), rule))).drop("root")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the smallest id of their node's component, and its root."""
+    roots = roots.withColumnRenamed("id", "k")
     rooted = nodes.join(roots, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select(F.col("node").alias("k"), F.col("root").alias("r")).join(named, F.col("r") == F.col("root")).select("k", "component_id")
-    return rows.join(labels, F.col("node") == F.col("k"), "left").select("id", "h", "word", "sig", "n", "component_id")
+    labels = rooted.select(F.col("node").alias("k"), F.col("root").alias("r")).join(named, F.col("r") == F.col("root")).select("k", "component_id", "root")
+    return rows.join(labels, F.col("node") == F.col("k"), "left").select("id", "h", "word", "sig", "n", "component_id", "root")
+
+
+def differing_shares(similarity: float, most: int = 64) -> list[float]:
+    """By the size n of the larger set, up to ``most``: the largest chance that a bit differs between fingerprints of sets that overlap by ``similarity``.
+
+    Exact, from the binomial votes; a last entry, the largest of the upper half, stands for all larger sets.
+    """
+    least = Fraction(str(similarity))
+    shares = [0.0]
+    votes = [[math.comb(n, i) / 2.0**n for i in range(n + 1)] for n in range(most + 1)]
+    over = lambda n, need: sum(votes[n][max(0, need) :])
+    for b in range(1, most + 1):
+        worst = 0.0
+        for a in range(math.ceil(b * least), b + 1):
+            c = math.ceil(least * (a + b) / (1 + least))
+            if c > a or (a == b == c):
+                continue
+            chances = [(over(a - c, a // 2 + 1 - s), over(b - c, b // 2 + 1 - s)) for s in range(c + 1)]
+            worst = max(worst, sum(v * (x * (1 - y) + y * (1 - x)) for v, (x, y) in zip(votes[c], chances)))
+        shares.append(worst)
+    return [*shares, max(shares[most // 2 :])]
+
+
+def candidate_rule(similarity: float, bits: int, deviations: float = 5) -> Rule:
+    """Radii so many standard deviations above what sets of this overlap differ by at most, on average."""
+    upper = lambda n, p: min(n, math.ceil(n * p + deviations * math.sqrt(n * p * (1 - p))))
+    shares, first = differing_shares(similarity), min(2, bits // 64)
+    radii = tuple(upper(bits, p) for p in shares)
+    return Rule(max(radii), similarity, upper(64 * first, max(shares)), first, radii)
+
+
+def overlap_links(left: tuple, right: tuple, rule: Rule, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that links what the pairs (left, right) of overlap ``similarity`` or more link, among pairs near by ``rule``.
+
+    Each side is (ids, sigs as (rows, words) uint64, n, sets of sorted hashes). Pairs that are linked already are not looked
+    at again, so a group of near copies takes one comparison a row, not one a pair.
+    """
+    least = Fraction(str(similarity))
+    ids, sig, n = (np.concatenate([x, y]) for x, y in zip(left[:3], right[:3]))
+    sets = [*left[3], *right[3]]
+    _, position, inverse = np.unique(ids, return_index=True, return_inverse=True)
+    labels = position[inverse]
+    m, u, v = len(left[0]), [], []
+    for a in range(m):
+        open_ = m + np.flatnonzero(labels[m:] != labels[a])
+        x, y = np.minimum(n[open_], n[a]), np.maximum(n[open_], n[a])
+        open_ = open_[x * least.denominator >= y * least.numerator]
+        open_ = open_[rule.near(np.bitwise_count(sig[open_] ^ sig[a]).sum(axis=1, dtype=np.int64), n[open_], n[a])]
+        # Of each group that a is not in, one member is compared, then two, four and so on until one links.
+        tries = 1
+        while len(open_):
+            order = np.argsort(labels[open_], kind="stable")
+            open_ = open_[order]
+            starts = np.flatnonzero(np.diff(labels[open_], prepend=-1))
+            place = np.arange(len(open_)) - np.repeat(starts, np.diff([*starts, len(open_)]))
+            now = open_[place < tries]
+            whole = np.concatenate([sets[i] for i in now])
+            cuts = np.cumsum([0, *(len(sets[i]) for i in now)])
+            at = np.minimum(np.searchsorted(sets[a], whole), len(sets[a]) - 1)
+            hits = np.concatenate([[0], np.cumsum(sets[a][at] == whole)])
+            shared = hits[cuts[1:]] - hits[cuts[:-1]]
+            for i in now[shared * least.denominator >= least.numerator * (n[a] + n[now] - shared)]:
+                if labels[i] != labels[a]:
+                    u.append(ids[a])
+                    v.append(ids[i])
+                    labels[labels == labels[i]] = labels[a]
+            open_ = open_[place >= tries]
+            open_ = open_[labels[open_] != labels[a]]
+            tries *= 2
+    return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, rule: Rule, width: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """(u, v): links that join nodes (node, key, word, sig, n) into the components of pairs with a true overlap of ``similarity`` or more.
+
+    Fingerprints give candidates and their components; only rows of those are read again. A component's rows are cut into blocks of bounded
+    size, and each pair of blocks is compared by the sets of shingles themselves.
+    """
+    least = Fraction(str(similarity))
+    # Smaller sets overlap by so much only if they are equal, and equal sets are one node.
+    able = nodes.filter(F.col("n") * (least.denominator - least.numerator) >= least.numerator)
+    roots = connected_components(similar_links(able.select(F.col("node").alias("id"), "word", "sig", "n"), rule)).withColumnRenamed("id", "_k")
+    members = materialise(able.join(roots, F.col("node") == F.col("_k")).select("root", "node", "key", "sig", "n"), "candidates")
+    blocks = members.groupBy(F.col("root").alias("_r")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(blocks, F.col("root") == F.col("_r")).withColumn("i", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int"))
+    texts = docs.select(F.col(id_column).alias("_i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("_h"), F.col(text_column).cast("binary").alias("text"))
+    held = members.join(texts, F.col("key.id").eqNullSafe(F.col("_i")) & (F.col("key.h") == F.col("_h")))
+    held = held.select("root", "node", "sig", "n", "i", "blocks", "text").dropDuplicates(["node"])
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = held.withColumn("j", each).select("node", "sig", "n", "text", F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), F.when(F.col("i") < F.col("j"), 0).when(F.col("i") > F.col("j"), 1).otherwise(2).alias("side"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(parts, "tile").sortWithinPartitions("tile")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for rows in _sets(batches, width):
+            sides = [tuple(np.array(c) if k < 3 else list(c) for k, c in enumerate(zip(*(r[1:] for r in rows if r[0] in (s, 2))))) for s in (0, 1)]
+            if all(sides):
+                u, v = overlap_links(*sides, rule, similarity)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.mapInArrow(compare, "u bigint, v bigint")
+
+
+def _sets(batches: Iterable, width: int) -> Iterator[list]:
+    """The rows (side, node, sig, n, set) of each tile from batches that are sorted by tile."""
+    held, key = [], None
+    for batch in batches:
+        names = ("tile", "side", "node", "sig", "n", "text")
+        for tile, side, node, sig, n, text in zip(*(batch.column(c) for c in names)):
+            tile = tile.as_py()
+            if held and tile != key:
+                yield held
+                held = []
+            key = tile
+            held.append((side.as_py(), node.as_py(), np.frombuffer(sig.as_py(), dtype="<u8"), n.as_py(), shingle_set(text.as_py() or b"", width)))
+    if held:
+        yield held
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Texts link if their sets of ``width``-word shingles are estimated to overlap by ``similarity`` (Jaccard) or more:
-    sets of overlap J have an expected share of differing bits of arccos(2J / (1 + J)) / pi, allowed here half a standard
-    deviation above it, and sizes at a ratio of J at least. Of rows that share id and text one stays; null ids go last.
+    Texts link if their sets of ``width``-word shingles overlap by ``similarity`` (Jaccard) or more. Fingerprints only find
+    candidates, within five standard deviations of the most that such sets differ by on average; each link is decided by the
+    sets. Texts of equal sets (and without words) are one. Of rows that share id and text one stays; null ids go last.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = lambda n: math.sqrt(n * share * (1 - share))
-    rule = Rule(round(bits * share + 0.5 * spread(bits)), similarity, round(64 * share + 3 * spread(64)))
-    found = near_duplicate_components(docs, width, rule, bits, id_column, text_column, distinct=True)
-    # Components without any id are told apart by their fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.hex("sig"))
+    rule = candidate_rule(similarity, bits)
+    rows = materialise(fingerprints(docs, width, bits, id_column, text_column, distinct=True).withColumnRenamed("set", "node"), "fingerprints")
+    key = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "h")).alias("key")
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), key, F.first("word").alias("word"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    roots = connected_components(verified_links(docs, nodes, rule, width, similarity, id_column, text_column))
+    found = _named(rows, nodes, roots)
+    # Components without any id are told apart by their root.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("root")))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "h")
     stays = found.groupBy(group.alias("g")).agg(F.min(order).alias("s")).select(F.col("s.id").alias("_i"), F.col("s.h").alias("_h"))
     many = found.groupBy(F.col("id").alias("_i"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")

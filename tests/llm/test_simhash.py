@@ -118,3 +118,22 @@ def test_repeated_passages_do_not_hide_a_near_copy(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words + words[:60])), (3, " ".join(f"x{i}" for i in range(100)))]
     got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_dedup_decides_by_true_overlap(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block)
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    # Cutting the end of a text of n shingles leaves c of them: an overlap of c / n.
+    for n, c in [(5, 4), (7, 6), (10, 8), (100, 80), (400, 320), (5, 3), (7, 5), (100, 79), (100, 78), (400, 319), (400, 310)] * 12:
+        words, i = fresh(n + 4), len(rows)
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[: c + 4]))]
+        want |= {i} if c * 5 >= n * 4 else {i, i + 1}
+    common = fresh(150)
+    first = len(rows)
+    rows += [(first + i, " ".join([*common, f"end{i}"])) for i in range(40)]
+    want.add(first)
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.doc_id for r in got.collect()} == want
