@@ -117,6 +117,12 @@ def test_folder_of_files(spark, tmp_path):
     assert [r[0] for r in names[:4]] == ["passwd", "notes.txt", "document", "file_CON.txt"] and len(names[4][0]) <= files.MOST_NAME
 
 
+def test_names_keep_180_characters(spark):
+    long = ["a" * 140 + end + ".pdf" for end in ("x", "y")] + ["b" * 300 + ".pdf"]
+    names = [r[0] for r in spark.createDataFrame([(n,) for n in long], "n string").select(files.safe_name(F.col("n"))).collect()]
+    assert names[:2] == long[:2] and names[2] == "b" * 176 + ".pdf"
+
+
 def test_streaming_ingest_replaces_documents(spark, tmp_path):
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     src.mkdir()
