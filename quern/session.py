@@ -30,25 +30,44 @@ def local_session(app: str = "quern", cpus: int | str = "*", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where that is unset and the master is local (tests).
+
+    On a cluster a folder of one machine would lose what executors write, so there the setting is required.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
         if not named:
+            if not is_local(spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="quern-")
             spark.sparkContext.setCheckpointDir(named)
+            remove_at_exit(spark, named)
     return named if ":" in named else "file://" + os.path.abspath(named)
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a folder when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/quern-{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors. The copy goes with the driver."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
