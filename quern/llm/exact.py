@@ -7,13 +7,12 @@ are a hit, and hits are checked against full bytes; texts that differ under one
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import materialise, scratch_path
+from quern.llm.rows import located
+from quern.session import materialise, remove_at_exit, scratch_path
 
 #: Parts that the rows of one digest are dealt to where their bytes are compared.
 SALTS = 16
@@ -26,17 +25,9 @@ def sha256(text) -> F.Column:
 
 
 def with_locator(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, text, file, place): a row's content is at ``place`` of ``file``, for good.
-
-    A plain scan names its own files and row numbers. Anything else is written to the shared folder first, and the copy
-    is what the locators name.
-    """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
-    plain = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")]
-    if docs.inputFiles():
-        with contextlib.suppress(AnalysisException):
-            return docs.select(*plain, *place)
-    return materialise(docs.select(*plain), "content").select("doc_id", "text", *place)
+    """(doc_id, text, file, place): a row's content is at ``place`` of ``file``, for good."""
+    rows, file, place = located(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
+    return rows.select("doc_id", "text", F.col(file).alias("file"), F.col(place).alias("place"))
 
 
 def dedup_stream(keys: DataFrame, state_dir: str, out_dir: str):
@@ -71,8 +62,13 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ``files_per_batch`` bounds a micro-batch. ``digest`` may be weak: hits are settled by the bytes.
     An empty table gives empty results; extra columns are not read.
     """
-    spark = docs.sparkSession
     content = with_locator(docs, id_column, text_column)
+    return content, _verdicts(content, files_per_batch, digest)
+
+
+def _verdicts(content: DataFrame, files_per_batch: int | None = None, digest=sha256) -> DataFrame:
+    """What :func:`exact_groups` says of rows (doc_id, text, file, place)."""
+    spark = content.sparkSession
     keys = content.select(digest(F.col("text")).alias("digest"), "doc_id", "file", "place")
     landed, state, out = (scratch_path(spark, x) for x in ("keys", "state", "groups"))
     keys.write.parquet(landed)
@@ -86,6 +82,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
     dedup_stream(stream.parquet(landed), state, out).awaitTermination()
+    for path in (landed, state, out):
+        remove_at_exit(spark, path)
     seen = spark.read.schema(KEYS).parquet(landed)
     try:
         groups = latest_groups(spark, out)
@@ -93,11 +91,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         groups = spark.createDataFrame([], _GROUPS)
     groups = materialise(groups, "latest")
     clash = materialise(_clashes(content, groups, digest), "clashes")
+    # Both sides are plain scans, so that the rows of a digest that many share are split where Spark joins them.
     verdict = seen.join(groups, "digest").select("doc_id", "file", "place", "digest", "keep", "group_size")
     if not clash.isEmpty():
         verdict = verdict.join(clash, "digest", "left_anti").unionByName(_by_bytes(content, clash, digest))
     kept = (F.col("keep.place") == F.col("place")) & (F.col("keep.file") == F.col("file"))
-    return content, verdict.select("doc_id", "file", "place", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"))
+    return verdict.select("doc_id", "file", "place", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"))
 
 
 def _clashes(content: DataFrame, groups: DataFrame, digest) -> DataFrame:
@@ -117,15 +116,12 @@ def _by_bytes(content: DataFrame, clash: DataFrame, digest) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without exact copies: of equal texts the row with the largest id stays."""
-    if not docs.inputFiles() or "_metadata" in docs.columns:
-        docs = materialise(docs, "content")
-    located = docs
-    try:
-        located = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    except AnalysisException:
-        docs = materialise(docs, "content")
-        located = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    _, verdicts = exact_groups(docs, id_column, text_column)
-    dropped = verdicts.filter(~F.col("kept")).select(F.col("file").alias("_file"), F.col("place").alias("_place"))
-    return located.join(dropped, ["_file", "_place"], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without exact copies, with its columns: of equal texts the row with the largest id stays.
+
+    Null counts as empty and null ids rank lowest; of rows that share id and text exactly one stays, also where joins or explodes
+    repeat rows or other columns differ. An empty table gives an empty result; columns of any name are handed on.
+    """
+    rows, file, place = located(docs)
+    content = rows.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.col(file).alias("file"), F.col(place).alias("place"))
+    dropped = _verdicts(content).filter(~F.col("kept")).select(F.col("file").alias(file), F.col("place").alias(place))
+    return rows.join(dropped, [file, place], "left_anti").select(*docs.columns)
