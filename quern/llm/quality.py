@@ -14,10 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.rows import located
 from quern.session import materialise
 
-#: Labelled rows that a fit takes at most (a hash sample beyond), partitions that sum them, and bins of calibration.
-MOST_LABELS, SUM_PARTITIONS, BINS = 60_000, 6, 400
+#: Partitions that sum labelled rows, and bins of calibration.
+SUM_PARTITIONS, BINS = 6, 400
 _SYMBOLS = b"!?.,;:|$%&*#@_-+=/\\<>[]{}()\"'~^"
 _GROUPS = (b"!", b"?", b".", b",", b";:", b"|", b"$", b"%", b"&", b"*", b"#", b"@", b"_-", b"+=<>^~", b"/\\", b"[]{}()", b"\"'")
 NAMES = ["log_words", "log_bytes", "word_length", "word_spread", "long_words", "upper", "lower", "digit", "wide", "white", "control", "distinct_words", "top_word", "log_lines", "line_length", "distinct_lines", "open_lines", "title_words", "shout_words", "mixed_words"] + [f"sign_{g.decode()}" for g in _GROUPS]
@@ -52,20 +53,21 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, h, x array<float>) of every row of whole texts; h is the hash of the text, null counts as empty."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("h"), F.col(text_column).cast("binary").alias("text"))
+def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, x array<float>) of every row of whole texts; null counts as empty."""
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_column, *carry)]
+    names = ["id", *(f"k{i}" for i in range(len(carry)))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip((id_column, *carry), names)], F.col(text_column).cast("binary").alias("text"))
 
     def compute(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = np.array([statistics(t.as_py() or b"") for t in batch.column(2)], dtype=np.float32).reshape(-1)
+            x = np.array([statistics(t.as_py() or b"") for t in batch.column(len(names))], dtype=np.float32).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(NAMES)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "h", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*names, "x"])
 
-    return rows.mapInArrow(compute, f"id {kind}, h bigint, x array<float>")
+    return rows.mapInArrow(compute, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", x array<float>")
 
 
 def isotonic(position: np.ndarray, weight: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +111,14 @@ def _stack(batch, column: int) -> np.ndarray:
     return np.asarray(batch.column(column).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
 
 
-def fit(rows: DataFrame, features: int = 256, width: float = 1.0, ridge: float = 0.1, folds: int = 4, seed: int = 11) -> QualityModel:
-    """Fit on rows (id, x array<float>, label double), of which a hash sample of about MOST_LABELS is taken.
+def fit(rows: DataFrame, features: int = 256, width: float = 1.0, ridge: float = 0.1, folds: int = 4, seed: int = 11, most_labels: int = 60_000) -> QualityModel:
+    """Fit on rows (id, x array<float>, label double); of more than ``most_labels`` a hash sample of about that many.
 
     ``width`` scales the kernel's usual width, the root of the number of statistics. Without rows every score is 0.5;
     labels of one kind give that label's score.
     """
     n = rows.count()
-    share = min(1.0, MOST_LABELS / max(1, n))
+    share = min(1.0, most_labels / max(1, n))
     ranked = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30))
     sample = rows.filter(ranked < int(share * (1 << 30))) if share < 1 else rows
     sample = materialise(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(folds)).cast("int")).select("x", "label", "fold").repartition(SUM_PARTITIONS), "labelled")
@@ -172,17 +174,18 @@ def fit(rows: DataFrame, features: int = 256, width: float = 1.0, ridge: float =
 
 
 def score(stats: DataFrame, model: QualityModel) -> DataFrame:
-    """(id, h, score) of rows of :func:`document_statistics`."""
-    kind = stats.schema["id"].dataType.simpleString()
+    """Rows of :func:`document_statistics` with their score in the place of x."""
+    kept = [f for f in stats.schema.fields if f.name != "x"]
+    names = [f.name for f in kept]
 
     def compute(batches):
         import pyarrow as pa
 
         for batch in batches:
-            s = model.score(_stack(batch, 2)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["id", "h", "score"])
+            s = model.score(_stack(batch, len(names))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*names, "score"])
 
-    return stats.select("id", "h", "x").mapInArrow(compute, f"id {kind}, h bigint, score double")
+    return stats.select(*names, "x").mapInArrow(compute, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", score double")
 
 
 def held_out(id_column) -> F.Column:
@@ -190,22 +193,28 @@ def held_out(id_column) -> F.Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", **options) -> DataFrame:
-    """(id, h, held_out, score, predicted) of every row, by a model fitted on the labels of rows that are not held out.
+def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """(id, held_out, score, predicted, carried columns as k0, k1...) of every row, by a model fitted on the labels of rows not held out.
 
-    Null and empty texts are scored by their (zero) statistics. Null labels teach nothing; an id that is labelled
-    more than once has the mean. Null ids are scored. Repeated rows give repeated rows; an empty table an empty result;
-    other columns, language and source among them, are not read.
+    ``options`` are those of :func:`fit`, the bound on its labelled rows among them. Null and empty texts are scored by their (zero)
+    statistics. Null labels teach nothing; an id that is labelled more than once has the mean. Null ids are scored. Repeated rows give
+    repeated rows; an empty table an empty result; other columns, language and source among them, are not read.
     """
-    stats = materialise(document_statistics(docs, id_column, text_column), "statistics")
+    stats = materialise(document_statistics(docs, id_column, text_column, carry), "statistics")
     taught = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column)))
     taught = taught.groupBy(F.col(id_column).alias("k")).agg(F.avg(F.col(label_column).cast("double")).alias("label"))
     model = fit(stats.join(taught, F.col("id") == F.col("k")).select("id", "x", "label"), **options)
-    return score(stats, model).select("id", "h", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    kept = [f"k{i}" for i in range(len(carry))]
+    return score(stats, model).select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *kept)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be good."""
-    bad = quality_scores(docs, labels, id_column, text_column, **options).filter("predicted = 0").select(F.col("id").alias("_i"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    return keyed.join(bad, F.col(id_column).eqNullSafe(F.col("_i")) & (F.col("_h0") == F.col("_h")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are predicted to be good, with its columns.
+
+    Each row is judged by its own text; null and empty texts by the score of zero statistics, and repeated rows alike. Null ids are
+    judged like others. An empty table gives an empty result; columns of any name are handed on.
+    """
+    rows, file, place = located(docs)
+    scored = quality_scores(rows, labels, id_column, text_column, carry=(file, place), **options)
+    bad = scored.filter("predicted = 0").select(F.col("k0").alias(file), F.col("k1").alias(place))
+    return rows.join(bad, [file, place], "left_anti").select(*docs.columns)

@@ -42,7 +42,7 @@ def test_labels_of_held_out_rows_teach_nothing(spark, tables):
     from pyspark.sql import functions as F
 
     wrong = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    score = lambda x: {(r.id, r.h): round(r.score, 9) for r in quality_scores(docs, x).collect()}
+    score = lambda x: {(r.id, r.k0): round(r.score, 9) for r in quality_scores(docs, x, carry=("text",)).collect()}
     assert score(labels) == score(wrong)
 
 
