@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from quern.session import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+#: Edges below which joins read their aggregates directly; above, these are written out first.
+FEW_EDGES = 100_000
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node above has one node below, which has none itself."""
+    ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    return ends.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).filter("ups > 1 or (ups = 1 and downs = 1)").isEmpty()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -21,22 +26,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node that edges (u, v) of longs touch; root is the smallest id of its component.
 
     Each round links the neighbours above a node to its smallest neighbour (large star), then the neighbours below
-    to theirs (small star), until the edges no longer change: then every component is one star. Rounds grow with the
+    to theirs (small star), until every component is one star. Rounds grow with the
     logarithm of a component's width. Self-links and repeated links are harmless; rows with nulls are left out.
     """
     current = materialise(_ordered(edges), "edges")
-    state = _state(current)
-    while state[0]:
+    while not _are_stars(current):
+        # Written out, both sides of a join are plain scans: then Spark splits the rows of a hub that many touch.
+        settle = materialise if current.count() > FEW_EDGES else lambda df, _: df
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
         large = _ordered(both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         large = materialise(large, "large-star")
-        below = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
+        below = settle(large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w"), "below")
         moved = large.join(below, F.col("v") == F.col("w")).filter("u <> m").select("u", F.col("m").alias("v"))
-        small = materialise(_ordered(moved.unionByName(below.select(F.col("w").alias("u"), F.col("m").alias("v")))), "small-star")
-        after = _state(small)
-        if after == state:
-            break
-        current, state = small, after
+        current = materialise(_ordered(moved.unionByName(below.select(F.col("w").alias("u"), F.col("m").alias("v")))), "small-star")
     roots = current.select(F.col("u").alias("id")).distinct().withColumn("root", F.col("id"))
     return current.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(roots)

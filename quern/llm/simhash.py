@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
+from quern.llm.rows import located
 from quern.session import materialise
 
 #: Rows of a tile's two sides, about; shingles that are hashed at a time; compared pairs at a time.
@@ -82,14 +83,15 @@ def _vote(blocks: Iterable[np.ndarray], bits: int) -> tuple[bytes, int]:
     return np.packbits(ones * 2 > n, bitorder="little").tobytes(), n
 
 
-def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
-    """(id, h, word, sig binary, n[, set]) of every row, set (a hash of the set of shingles) if ``distinct``; h is the hash of the text as it stands, word the first 64 bits of sig.
+def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False, place: tuple[str, str] | None = None) -> DataFrame:
+    """(id[, file, place], word, sig binary, n[, set]) of every row; word is the first 64 bits of sig, set (only if ``distinct``) a hash of the set of shingles.
 
     A-Z are lower-cased, words are runs of bytes other than space and 0x09 to 0x0D. Null texts count as empty; texts
-    without words have a fingerprint of zeros and no shingles.
+    without words have a fingerprint of zeros and no shingles. ``place`` names columns of ``docs`` that tell its rows apart.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("h"), F.col(text_column).cast("binary").alias("text"))
+    keys = ["id", *(["file", "place"] if place else [])]
+    kinds = [f"id {docs.schema[id_column].dataType.simpleString()}", *(["file string", "place bigint"] if place else [])]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip((id_column, *(place or ())), keys)], F.col(text_column).cast("binary").alias("text"))
 
     def compute(batches):
         import pyarrow as pa
@@ -97,7 +99,7 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "
 
         for batch in batches:
             found, named = [], []
-            for t in batch.column(2):
+            for t in batch.column(len(keys)):
                 if distinct:
                     hashes = shingle_set(t.as_py() or b"", width)
                     named.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
@@ -105,12 +107,12 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, id_column: str = "
                 else:
                     found.append(fingerprint(t.as_py() or b"", width, bits))
             words = [int.from_bytes(s[:8], "little", signed=True) for s, _ in found]
-            columns = [batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array([s for s, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
+            columns = [*batch.columns[:-1], pa.array(words, pa.int64()), pa.array([s for s, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
             if distinct:
                 columns.append(pa.array(np.array(named, dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "word", "sig", "n", "set"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "word", "sig", "n", "set"][: len(columns)])
 
-    return rows.mapInArrow(compute, f"id {kind}, h bigint, word bigint, sig binary, n bigint" + ", set bigint" * distinct)
+    return rows.mapInArrow(compute, ", ".join(kinds) + ", word bigint, sig binary, n bigint" + ", set bigint" * distinct)
 
 
 @dataclass(frozen=True)
@@ -249,7 +251,7 @@ def similar_links(nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, h, word, sig, n, component_id) of every row; component_id is the smallest id reachable by links.
+    """(id, word, sig, n, component_id) of every row; component_id is the smallest id reachable by links.
 
     Equal fingerprints (and sizes, if the rule has a ratio) are one node, so groups of copies cost one row. Null and
     empty texts share the zero fingerprint and link like any other. Null ids take part, but a component is
@@ -261,16 +263,12 @@ def near_duplicate_components(docs: DataFrame, width: int, rule: Rule, bits: int
     node = F.col("word") if bits == 64 and not rule.ratio else F.xxhash64("sig", "n")
     rows = rows.withColumn("node", node)
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("word").alias("word"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
-    return _named(rows, nodes, connected_components(similar_links(nodes.select(F.col("node").alias("id"), "word", "sig", "n"), rule))).drop("root")
-
-
-def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows with the smallest id of their node's component, and its root."""
-    roots = roots.withColumnRenamed("id", "k")
-    rooted = nodes.join(roots, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select(F.col("node").alias("k"), F.col("root").alias("r")).join(named, F.col("r") == F.col("root")).select("k", "component_id", "root")
-    return rows.join(labels, F.col("node") == F.col("k"), "left").select("id", "h", "word", "sig", "n", "component_id", "root")
+    roots = connected_components(similar_links(nodes.select(F.col("node").alias("id"), "word", "sig", "n"), rule)).withColumnRenamed("id", "k")
+    rooted = materialise(nodes.join(roots, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"), "named")
+    # Plain scans on both sides of each join: Spark splits the nodes of a large component, and the rows of a fingerprint that many share.
+    labels = materialise(rooted.join(named, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id"), "labels")
+    return rows.join(labels, F.col("node") == F.col("k"), "left").select("id", "word", "sig", "n", "component_id")
 
 
 def differing_shares(similarity: float, most: int = 64) -> list[float]:
@@ -302,11 +300,20 @@ def candidate_rule(similarity: float, bits: int, deviations: float = 5) -> Rule:
     return Rule(max(radii), similarity, upper(64 * first, max(shares)), first, radii)
 
 
-def overlap_links(left: tuple, right: tuple, rule: Rule, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of each of ``others`` the sorted set ``one`` has."""
+    whole = np.concatenate([*others, one[:0]])
+    cuts = np.cumsum([0, *map(len, others)])
+    at = np.minimum(np.searchsorted(one, whole), max(len(one) - 1, 0))
+    hits = np.concatenate([[0], np.cumsum(one[at] == whole)]) if len(one) else np.zeros(len(whole) + 1, dtype=np.int64)
+    return hits[cuts[1:]] - hits[cuts[:-1]]
+
+
+def overlap_links(left: tuple, right: tuple, rule: Rule, similarity: float, right_is_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A forest that links what the pairs (left, right) of overlap ``similarity`` or more link, among pairs near by ``rule``.
 
     Each side is (ids, sigs as (rows, words) uint64, n, sets of sorted hashes). Pairs that are linked already are not looked
-    at again, so a group of near copies takes one comparison a row, not one a pair.
+    at again, so a group of near copies takes one comparison a row, not one a pair. ``right_is_one``: the right side is linked among itself.
     """
     least = Fraction(str(similarity))
     ids, sig, n = (np.concatenate([x, y]) for x, y in zip(left[:3], right[:3]))
@@ -314,6 +321,8 @@ def overlap_links(left: tuple, right: tuple, rule: Rule, similarity: float) -> t
     _, position, inverse = np.unique(ids, return_index=True, return_inverse=True)
     labels = position[inverse]
     m, u, v = len(left[0]), [], []
+    if right_is_one:
+        labels[m:] = m
     for a in range(m):
         open_ = m + np.flatnonzero(labels[m:] != labels[a])
         x, y = np.minimum(n[open_], n[a]), np.maximum(n[open_], n[a])
@@ -327,12 +336,8 @@ def overlap_links(left: tuple, right: tuple, rule: Rule, similarity: float) -> t
             starts = np.flatnonzero(np.diff(labels[open_], prepend=-1))
             place = np.arange(len(open_)) - np.repeat(starts, np.diff([*starts, len(open_)]))
             now = open_[place < tries]
-            whole = np.concatenate([sets[i] for i in now])
-            cuts = np.cumsum([0, *(len(sets[i]) for i in now)])
-            at = np.minimum(np.searchsorted(sets[a], whole), len(sets[a]) - 1)
-            hits = np.concatenate([[0], np.cumsum(sets[a][at] == whole)])
-            shared = hits[cuts[1:]] - hits[cuts[:-1]]
-            for i in now[shared * least.denominator >= least.numerator * (n[a] + n[now] - shared)]:
+            both = shared(sets[a], [sets[i] for i in now])
+            for i in now[both * least.denominator >= least.numerator * (n[a] + n[now] - both)]:
                 if labels[i] != labels[a]:
                     u.append(ids[a])
                     v.append(ids[i])
@@ -343,38 +348,92 @@ def overlap_links(left: tuple, right: tuple, rule: Rule, similarity: float) -> t
     return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, rule: Rule, width: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
-    """(u, v): links that join nodes (node, key, word, sig, n) into the components of pairs with a true overlap of ``similarity`` or more.
+def _blocks(n: Column, rows: Column) -> Column:
+    """Blocks for rows and their shingles in all."""
+    return F.greatest(F.ceil(rows / BLOCK_SETS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+
 
-    Fingerprints give candidates and their components; only rows of those are read again. A component's rows are cut into blocks of bounded
-    size, and each pair of blocks is compared by the sets of shingles themselves.
+def _block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), "node"), F.greatest(blocks, F.lit(1))).cast("int")
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, rule: Rule, width: int, similarity: float, place: tuple[str, str], text_column: str) -> DataFrame:
+    """(u, v): links that join nodes (node, first (file, place), word, sig, n) into the components of pairs with a true overlap of ``similarity`` or more.
+
+    Fingerprints give candidates and their components; only rows of those are read again. In a component of more than one block every row is
+    compared with one of them, the hub: a large group of near copies is settled by that, one comparison a row. Rows that the hub does not
+    settle meet each other, and those that it does, in pairs of blocks of bounded size. Decided by the sets of shingles themselves.
     """
     least = Fraction(str(similarity))
     # Smaller sets overlap by so much only if they are equal, and equal sets are one node.
     able = nodes.filter(F.col("n") * (least.denominator - least.numerator) >= least.numerator)
     roots = connected_components(similar_links(able.select(F.col("node").alias("id"), "word", "sig", "n"), rule)).withColumnRenamed("id", "_k")
-    members = materialise(able.join(roots, F.col("node") == F.col("_k")).select("root", "node", "key", "sig", "n"), "candidates")
-    blocks = members.groupBy(F.col("root").alias("_r")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(blocks, F.col("root") == F.col("_r")).withColumn("i", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int"))
-    texts = docs.select(F.col(id_column).alias("_i"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("_h"), F.col(text_column).cast("binary").alias("text"))
-    held = members.join(texts, F.col("key.id").eqNullSafe(F.col("_i")) & (F.col("key.h") == F.col("_h")))
-    held = held.select("root", "node", "sig", "n", "i", "blocks", "text").dropDuplicates(["node"])
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = held.withColumn("j", each).select("node", "sig", "n", "text", F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), F.when(F.col("i") < F.col("j"), 0).when(F.col("i") > F.col("j"), 1).otherwise(2).alias("side"))
+    members = materialise(able.join(roots, F.col("node") == F.col("_k")).select("root", "node", "first", "sig", "n"), "candidates")
+    sizes = materialise(members.groupBy(F.col("root").alias("_r")).agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"), F.min("node").alias("hub")), "component-sizes")
+    texts = docs.select(F.col(place[0]).alias("_f"), F.col(place[1]).alias("_p"), F.col(text_column).cast("binary").alias("text"))
+    held = members.join(sizes, F.col("root") == F.col("_r")).drop("_r")
+    held = held.join(texts, (F.col("first.file") == F.col("_f")) & (F.col("first.place") == F.col("_p")))
+    held = materialise(held.select("root", "node", "sig", "n", "blocks", "hub", "text"), "candidate-texts")
+    columns = ["tile", "side", "node", "sig", "n", "text"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(parts, "tile").sortWithinPartitions("tile")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    deal = lambda rows: rows.select(columns).repartition(parts, "tile").sortWithinPartitions("tile", "side")
+
+    if sizes.filter("blocks > 1").isEmpty():
+        settled = docs.sparkSession.createDataFrame([], "u bigint, v bigint")
+        rest = held.select("*", F.lit(False).alias("settled"), F.col("blocks").alias("opens"), F.lit(0).alias("closed"))
+    else:
+        large = held.filter("blocks > 1")
+        hubs = large.filter("node = hub").withColumn("i", upto(F.col("blocks"))).withColumn("side", F.lit(0))
+        others = large.filter("node <> hub").withColumn("i", _block_of(F.col("blocks"))).withColumn("side", F.lit(1))
+        settled = materialise(deal(hubs.unionByName(others).withColumn("tile", F.xxhash64("root", "i"))).mapInArrow(_meet_hub(width, least), "u bigint, v bigint"), "hub-links")
+        known = settled.select(F.col("u").alias("_u")).unionByName(settled.select(F.col("v").alias("_u")).distinct())
+        rest = materialise(held.join(known, F.col("node") == F.col("_u"), "left").withColumn("settled", F.col("_u").isNotNull()).drop("_u"), "unsettled")
+        counts = rest.groupBy(F.col("root").alias("_r")).agg(*[_blocks(F.coalesce(F.sum(F.when(F.col("settled") == s, F.col("n"))), F.lit(0)), F.count_if(F.col("settled") == s)).alias(name) for s, name in ((False, "opens"), (True, "closed"))])
+        rest = rest.join(materialise(counts.filter("opens > 0"), "unsettled-sizes"), F.col("root") == F.col("_r")).drop("_r")
+    opens = rest.filter("not settled").withColumn("i", _block_of(F.col("opens")))
+    among = opens.withColumn("j", upto(F.col("opens"))).withColumn("tile", F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j"))).withColumn("side", F.when(F.col("i") < F.col("j"), 0).when(F.col("i") > F.col("j"), 1).otherwise(2))
+    across = opens.filter("closed > 0").withColumn("j", upto(F.col("closed"))).withColumn("side", F.lit(0))
+    across = across.unionByName(rest.filter("settled").withColumn("j", _block_of(F.col("closed"))).withColumn("i", upto(F.col("opens"))).withColumn("side", F.lit(3)))
+    pairs = among.select(columns).unionByName(across.withColumn("tile", F.xxhash64("root", "i", "j", F.lit("closed"))).select(columns))
 
     def compare(batches):
         import pyarrow as pa
 
         for rows in _sets(batches, width):
-            sides = [tuple(np.array(c) if k < 3 else list(c) for k, c in enumerate(zip(*(r[1:] for r in rows if r[0] in (s, 2))))) for s in (0, 1)]
+            closed = rows[-1][0] == 3
+            sides = [tuple(np.array(c) if k < 3 else list(c) for k, c in enumerate(zip(*(r[1:] for r in rows if r[0] in s)))) for s in ((0, 2), (1, 2, 3))]
             if all(sides):
-                u, v = overlap_links(*sides, rule, similarity)
+                u, v = overlap_links(*sides, rule, similarity, closed)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return dealt.mapInArrow(compare, "u bigint, v bigint")
+    return deal(pairs).mapInArrow(compare, "u bigint, v bigint").unionByName(settled)
+
+
+def _meet_hub(width: int, least: Fraction):
+    """Links (u, hub) of rows that overlap with the hub of their tile; a tile's hub comes first."""
+
+    def meet(batches):
+        import pyarrow as pa
+
+        tile = hub = None
+        for batch in batches:
+            linked = []
+            for t, side, node, _, n, text in zip(*(batch.column(c) for c in range(batch.num_columns))):
+                words = shingle_set(text.as_py() or b"", width)
+                if side.as_py() == 0:
+                    tile, hub, of_hub = t.as_py(), node.as_py(), words
+                    continue
+                assert tile == t.as_py()
+                both = int(shared(of_hub, [words])[0])
+                if both * least.denominator >= least.numerator * (len(of_hub) + n.as_py() - both):
+                    linked.append((node.as_py(), hub))
+            if linked:
+                u, v = zip(*linked)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return meet
 
 
 def _sets(batches: Iterable, width: int) -> Iterator[list]:
@@ -394,24 +453,21 @@ def _sets(batches: Iterable, width: int) -> Iterator[list]:
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
+    """The rows of ``docs`` without near-duplicates, with its columns: of each component the row with the smallest id stays.
 
     Texts link if their sets of ``width``-word shingles overlap by ``similarity`` (Jaccard) or more. Fingerprints only find
     candidates, within five standard deviations of the most that such sets differ by on average; each link is decided by the
-    sets. Texts of equal sets (and without words) are one. Of rows that share id and text one stays; null ids go last.
+    sets. Texts of equal sets are one; so are null and empty texts and those without words. Null ids go last; of rows that share the
+    smallest id of their component exactly one stays, whatever their other columns hold. An empty table gives an empty
+    result; columns of any name are handed on.
     """
     rule = candidate_rule(similarity, bits)
-    rows = materialise(fingerprints(docs, width, bits, id_column, text_column, distinct=True).withColumnRenamed("set", "node"), "fingerprints")
-    key = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "h")).alias("key")
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), key, F.first("word").alias("word"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
-    roots = connected_components(verified_links(docs, nodes, rule, width, similarity, id_column, text_column))
-    found = _named(rows, nodes, roots)
-    # Components without any id are told apart by their root.
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("root")))
-    order = F.struct(F.col("id").isNull().alias("late"), "id", "h")
-    stays = found.groupBy(group.alias("g")).agg(F.min(order).alias("s")).select(F.col("s.id").alias("_i"), F.col("s.h").alias("_h"))
-    many = found.groupBy(F.col("id").alias("_i"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    stays = stays.join(many, stays["_i"].eqNullSafe(many["_i"]) & (stays["_h"] == many["_h"]), "left").select(stays["_i"], stays["_h"], F.coalesce("_n", F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    kept = keyed.join(stays, F.col(id_column).eqNullSafe(F.col("_i")) & (F.col("_h0") == F.col("_h")))
-    return kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["_i", "_h"])).select(*docs.columns)
+    rows, *place = located(docs)
+    found = fingerprints(rows, width, bits, id_column, text_column, distinct=True, place=place).withColumnRenamed("set", "node")
+    found = materialise(found, "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "file", "place")).alias("first")
+    nodes = materialise(found.groupBy("node").agg(first, F.first("word").alias("word"), F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    roots = connected_components(verified_links(rows, nodes, rule, width, similarity, place, text_column)).withColumnRenamed("id", "_k")
+    rooted = nodes.select("node", "first").join(roots, F.col("node") == F.col("_k"), "left").select(F.coalesce("root", "node").alias("root"), "first")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.file").alias(place[0]), F.col("s.place").alias(place[1]))
+    return rows.join(stays, place, "left_semi").select(*docs.columns)
