@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.rows import fresh, located
 from quern.session import materialise
 
 #: Items whose fractions one reducer pairs, and residuals that meet at each further level of the tree.
@@ -19,28 +20,34 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(squeezed, "[^w]", "")).cast("long")
 
 
+def _positions(sources: DataFrame) -> DataFrame:
+    """Sources (source, ...) with their place from 0 by code point, null last: a range sort, and bases from prefix sums over its parts."""
+    placed = sources.withColumn("_late", F.col("source").isNull()).repartitionByRange("_late", "source").sortWithinPartitions("_late", "source").drop("_late")
+    placed = materialise(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")), "sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    bases = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(bases, "_part").withColumn("at", F.col("_row") + F.col("_base")).drop("_part", "_row", "_base")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3) -> DataFrame:
     """(source, source_size, target, copies) by source from rows of (source, size).
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes. A target stops at
-    ``most_copies`` times its source's size and the excess goes to the others by weight, until none is above: the
-    level at which min(level * weight, cap) sums to the whole, found by one sort on cap / weight.
-    The windows here run over one row for each source.
+    ``most_copies`` times its source's size and the excess goes to the others by weight, until none is above: a target is
+    min(level * weight, cap), and the level rises, a sum over the sources at a time, until no further source is capped.
     """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int"))
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.withColumn("_at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int")).cast("double")
-    capped = ranked.select("source", "source_size", weight.alias("_w"), (F.col("source_size") * most_copies).cast("double").alias("_cap"))
-    order = Window.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    levelled = capped.withColumn("_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-    levelled = levelled.withColumn("_level", F.col("_left") / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    # The first source whose cap is above the level ends the filling; those before it stop at their caps.
-    open_ = F.when(F.col("_cap") >= F.col("_level") * F.col("_w"), F.col("_level"))
-    level = F.first(open_, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("_w")))
-    return levelled.select("source", "source_size", target.alias("target")).withColumn(
+    capped = materialise(_positions(by_source).select("source", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * most_copies).alias("cap")), "caps")
+    level, n_capped = 0.0, -1
+    while True:
+        over = F.col("cap") < F.col("weight") * level
+        total = capped.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("cap"))).alias("held"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.count_if(over).alias("n")).first()
+        if total.n == n_capped or not total.open:
+            break
+        level, n_capped = (total["all"] - (total.held or 0)) / total.open, total.n
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * level)
+    return capped.select("source", "source_size", target.alias("target")).withColumn(
         "copies", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
 
@@ -121,8 +128,8 @@ def pivotal_rounding(items: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> D
         level += 1
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3, seed: int = 7) -> DataFrame:
-    """Copies of every document in a mix of all sources: (key struct<id,h,salt,row>, id, size, source_size, target, copies).
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3, seed: int = 7, place: tuple[str, str] | None = None) -> DataFrame:
+    """Copies of every document in a mix of all sources: (key struct<id,h,salt,row>, id, size, source_size, target, copies[, file, place]).
 
     A document's expected copies are its source's target over its source's size, at most ``most_copies``. The whole
     part is certain; the fractions are rounded together by :func:`pivotal_rounding`, so each source's words come
@@ -130,16 +137,20 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     equal in both also depend on their place in the input.
     Null and empty texts have size 0 and are drawn one by one, as they hold no words. A null source is a source; null
     ids are kept; repeated rows are separate items; an empty table gives an empty result; extra columns are not read.
+    ``place`` names columns of ``docs`` that tell its rows apart; they are handed on.
     """
+    named = [F.col(c).alias(n) for c, n in zip(place or (), ("file", "place"))]
+    held = ["file", "place"][: len(named)]
     rows = docs.select(
+        *named,
         F.struct(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("h")).alias("k"),
         F.col(source_column).cast("string").alias("source"), word_count(F.col(text_column)).alias("size"),
     )
-    rows = materialise(rows.select("k", F.monotonically_increasing_id().alias("row"), "source", "size"), "mix-rows")
+    rows = materialise(rows.select("k", F.monotonically_increasing_id().alias("row"), "source", "size", *held), "mix-rows")
     repeated = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("k").alias("k2"), F.lit(True).alias("many"))
     # Equal rows are told apart by a number, so that many of them spread over the reducers; others depend on nothing else.
     rows = rows.join(repeated, (F.col("k.h") == F.col("k2.h")) & F.col("k.id").eqNullSafe(F.col("k2.id")), "left").select(
-        F.struct("k.id", "k.h", F.when(F.col("many"), F.col("row")).otherwise(F.lit(0)).cast("long").alias("salt"), "row").alias("key"), "source", "size"
+        F.struct("k.id", "k.h", F.when(F.col("many"), F.col("row")).otherwise(F.lit(0)).cast("long").alias("salt"), "row").alias("key"), "source", "size", *held
     )
     targets = source_targets(rows, weights, most_copies)
     # One row for each source: Spark broadcasts it below its own threshold and splits skewed sources beyond.
@@ -152,18 +163,18 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     drawn = placed.join(rounded, F.col("key.row") == F.col("k2.row"), "left")
     alone = F.when(F.col("size") > 0, F.col("fraction") >= 1 - 1e-12).otherwise(_uniform(F.lit(seed), F.col("key.id"), F.col("key.h")) < F.col("fraction"))
     return drawn.select(
-        "key", F.col("key.id").alias(id_column), "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("extra"), alone).cast("long")).alias("copies")
+        "key", F.col("key.id").alias(id_column), "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("extra"), alone).cast("long")).alias("copies"), *held
     )
 
 
 def apply_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The mixed rows of ``docs``: every row as often as the mix takes it, with the columns of ``docs``.
 
-    Rows are found again by id and text. Of rows that are equal in both, one stands for all and takes their copies.
+    Each row is an item of its own, also where ids, texts or whole rows repeat or ids are null. Null and empty texts have size 0 and are
+    drawn one by one; a null source is a source. An empty table gives an empty result; columns of any name are handed on.
     """
-    taken = mix(docs, id_column, text_column, **options).groupBy(F.col("key.id").alias("_i"), F.col("key.h").alias("_h")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    joined = keyed.join(taken.filter("_copies > 0"), F.col(id_column).eqNullSafe(F.col("_i")) & (F.col("_h0") == F.col("_h")))
-    once = joined.filter("_n = 1")
-    repeated = joined.filter("_n > 1").dropDuplicates(["_i", "_h"])
-    return once.unionByName(repeated).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows, *place = located(docs)
+    copies, copy = fresh(rows, "_copies", "_copy")
+    taken = mix(rows, id_column, text_column, place=place, **options).filter("copies > 0")
+    taken = taken.select(F.col("file").alias(place[0]), F.col("place").alias(place[1]), F.col("copies").cast("int").alias(copies))
+    return rows.join(taken, place).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -68,9 +68,55 @@ def test_expected_copies_follow_the_fraction(spark):
         assert sum(c for c, _ in pairs) / len(pairs) == pytest.approx(pairs[0][1], abs=0.05)
 
 
-def test_apply_mix_repeats_rows(spark):
+def test_apply_mix_repeats_rows(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i} " * (i % 9 + 1), f"s{i % 3}", "a", "b") for i in range(200)] + [(3, "t3 " * 4, "s0", "a", "b")], SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
     want = sum(r.copies for r in mix(df).collect())
     got = apply_mix(df)
     assert got.columns == df.columns and got.count() == want
     assert apply_mix(df.limit(0)).count() == 0 and mix(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_id_and_text_are_items_of_their_own(spark):
+    rows = [(1, "x y z", s, "a", "b") for s in ("s0", "s1", "s2")] + [(None, "x y z", "s0", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = [(r.doc_id, r.source) for r in apply_mix(df, weights=(1,)).collect()]
+    assert {s for _, s in taken} == {"s0", "s1", "s2"} and len(taken) == 4
+
+
+def fold(items, uniform):
+    """One reducer's items in order: what :func:`quern.llm.mixing._pivot` settles, with the numbers that it draws."""
+    held, done = None, {}
+    for key, size, mass in items:
+        if held is None:
+            held = (key, size, mass)
+            continue
+        hkey, hsize, hmass = held
+        up, down = min(hmass, size - mass), min(mass, hsize - hmass)  # words that the held item can give, and take
+        if uniform(hkey, key, len(done)) * (up + down) < down:
+            a, b = hmass - up, mass + up
+        else:
+            a, b = hmass + down, mass - down
+        if abs(a) < 1e-9 or abs(a - hsize) < 1e-9:
+            done[hkey], held = a > hsize / 2, (key, size, b)
+        else:
+            done[key], held = b > size / 2, (hkey, hsize, a)
+    return done, held
+
+
+def test_rounding_equals_a_fold_in_plain_python(spark):
+    from quern.llm.mixing import _uniform, pivotal_rounding
+
+    rows = [("g", (i, i * 31, 0, i), float(1 + i * 37 % 11), 0.0) for i in range(30)]
+    rows = [(g, k, s, s * (0.1 + 0.8 * ((k[0] * 7) % 10) / 10)) for g, k, s, _ in rows]
+    items = spark.createDataFrame(rows, "grp string, key struct<id:long,h:long,salt:long,row:long>, size double, mass double")
+    got = {r.key.id: r.extra for r in pivotal_rounding(items, seed=7, fan_in=100).collect()}
+    order = F.xxhash64(F.lit(8), "key.id", "key.h", "key.salt")
+    ordered = [(r.key, r.size, r.mass) for r in items.orderBy(order).collect()]
+    n = spark.createDataFrame([(a, b, d) for a, *_ in ordered for b, *_ in ordered for d in range(30)], "a struct<id:long,h:long,salt:long,row:long>, b struct<id:long,h:long,salt:long,row:long>, d int")
+    drawn = {(r.i, r.j, r.d): r.u for r in n.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), "d", _uniform(F.lit(7), F.lit(0), "a.id", "a.h", "a.salt", "b.id", "b.h", "b.salt", "d").alias("u")).collect()}
+    done, (last, size, mass) = fold(ordered, lambda a, b, d: drawn[a.id, b.id, d])
+    u = items.filter(F.col("key.id") == last.id).select(_uniform(F.lit(7), F.lit(-1), "key.id", "key.h", "key.salt")).first()[0]
+    assert got == {k.id: x for k, x in done.items()} | {last.id: u * size < mass}
+    assert abs(sum(s * got[k.id] for k, s, _ in ordered) - sum(m for *_, m in ordered)) < max(s for _, s, _ in ordered)
