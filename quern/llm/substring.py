@@ -20,8 +20,6 @@ from quern.session import materialise
 
 #: Words of a minimiser; windows of a packed string at most; buckets of a task; bytes of text of a task, and of a batch, about.
 MINIMISER_WORDS, RUN_WINDOWS, TASK_BUCKETS, TASK_BYTES, BATCH_BYTES = 2, 2048, 12, 32 << 20, 5 << 20
-#: Ranks after every document id: rows without an id.
-NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
@@ -159,17 +157,28 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     return columns, raw[at:]
 
 
-def _text_batches(batches, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """(ids, hashes, words) of about ``size`` bytes of text at a time from batches (id, h, text binary)."""
+def _ranks(ids: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Owners as numbers in the order of ids; rows without an id (late) come after all others."""
+    _, ranks = np.unique(ids, return_inverse=True)
+    return np.where(late, len(ids), ranks)
+
+
+def _signed(position: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Positions travel with the sign of their owner: -1 - position says that it has no id. Its own inverse, given late."""
+    return np.where(late, -1 - position, position)
+
+
+def _text_batches(batches, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """(ids, whether there is none, hashes, words) of about ``size`` bytes of text at a time from batches (id, h, text binary)."""
     for batch in batches:
-        ids, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ids, late, h = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
         held, n, begin = [], 0, 0
         for i, text in enumerate(batch.column(2)):
             text = text.as_py() or b""
             held.append(text.split())
             n += len(text)
             if n >= size or i + 1 == batch.num_rows:
-                yield ids[begin : i + 1], h[begin : i + 1], held
+                yield ids[begin : i + 1], late[begin : i + 1], h[begin : i + 1], held
                 held, n, begin = [], 0, i + 1
 
 
@@ -182,7 +191,7 @@ def _sizes(rows: DataFrame, k: int, tasks: int) -> tuple[int, frozenset[int]]:
     def survey(batches):
         import pyarrow as pa
 
-        for _, _, texts in _text_batches(batches, BATCH_BYTES):
+        for _, _, _, texts in _text_batches(batches, BATCH_BYTES):
             words = _Words(texts, k)
             least = words.minimisers(MINIMISER_WORDS)
             cut = np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(words.windows) != 1)]) if len(least) else np.zeros(0, bool)
@@ -199,21 +208,25 @@ def _sizes(rows: DataFrame, k: int, tasks: int) -> tuple[int, frozenset[int]]:
 
 
 def _scatter(k: int, buckets: int, hot: frozenset[int]):
-    """Map side: (bucket, blob) rows. A blob has strings (id, h, first window, bytes) to count and runs (id, h, first, windows) already marked."""
+    """Map side: (bucket, blob) rows. A blob has strings (id, h, first window, bytes) to count and runs (id, h, first, windows) already marked.
+
+    First windows are signed, as of :func:`_signed`.
+    """
     hot_values = np.array(sorted(hot), dtype=np.int64).astype(np.uint64)
     hot_values.sort()
 
     def scatter(batches):
         import pyarrow as pa
 
-        for number, (ids, h, texts) in enumerate(_text_batches(batches, BATCH_BYTES)):
+        for number, (ids, late, h, texts) in enumerate(_text_batches(batches, BATCH_BYTES)):
             words = _Words(texts, k)
             if not len(words.windows):
                 continue
             hashes, least = words.hashes(), words.minimisers(MINIMISER_WORDS)
             text = words.text_of[words.windows]
             position = words.windows - words.text_starts[text]
-            marked = repeated_windows(words, hashes, ids[text])
+            marked = repeated_windows(words, hashes, _ranks(ids, late)[text])
+            position = _signed(position, late[text])
             adjacent = np.concatenate([[False], np.diff(words.windows) == 1])
             # Runs that are settled here.
             opens = marked & ~(np.concatenate([[False], marked[:-1]]) & adjacent)
@@ -268,18 +281,22 @@ def _count(k: int):
         results = [tuple(np.concatenate(c) for c in zip(*passed))]
         if texts:
             ids, h, first = (np.concatenate(c) for c in zip(*strings))
+            late = first < 0
+            first = _signed(first, late)
             words = _Words(texts, k)
             text = words.text_of[words.windows]
-            marked = repeated_windows(words, words.hashes(), ids[text])
+            marked = repeated_windows(words, words.hashes(), _ranks(ids, late)[text])
             if marked.any():
                 adjacent = np.concatenate([[False], text[1:] == text[:-1]])
                 opens = marked & ~(np.concatenate([[False], marked[:-1]]) & adjacent)
                 s, n = _runs(opens[marked])
                 at = np.flatnonzero(marked)[s]
-                results.append((ids[text[at]], h[text[at]], first[text[at]] + words.windows[at] - words.text_starts[text[at]], n))
-        columns = [np.concatenate(c) for c in zip(*results)]
-        if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "h", "first", "windows"])
+                t = text[at]
+                results.append((ids[t], h[t], _signed(first[t] + words.windows[at] - words.text_starts[t], late[t]), n))
+        ids, h, first, n = (np.concatenate(c) for c in zip(*results))
+        if len(ids):
+            late = first < 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=late), *(pa.array(c, pa.int64()) for c in (h, _signed(first, late), n))], names=["id", "h", "first", "windows"])
 
     def count(batches):
         held, key = [], None
@@ -334,7 +351,7 @@ def _cover(k: int, with_text: bool):
 def repeated_runs(docs: DataFrame, k: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, h, first, windows): runs of windows of ``k`` words that also start in a document with a smaller id.
 
-    ``h`` is the text's hash; ids that are null read NO_ID. ``first`` counts words from 0.
+    ``h`` is the text's hash. ``first`` counts words from 0.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_column, text_column)
@@ -347,7 +364,7 @@ def repeated_runs(docs: DataFrame, k: int = 13, id_column: str = "doc_id", text_
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
 
 
 def drop_repeats(docs: DataFrame, k: int = 13, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
@@ -360,7 +377,7 @@ def drop_repeats(docs: DataFrame, k: int = 13, id_column: str = "doc_id", text_c
     table gives an empty result; other columns are not read.
     """
     rows = _rows(docs, id_column, text_column)
-    runs = repeated_runs(docs, k, id_column, text_column).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
-    joined = rows.join(runs, (F.col("id") == F.col("i")) & (F.col("h") == F.col("g")), "left").select("id", "text", "runs")
+    runs = repeated_runs(docs, k, id_column, text_column).groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    joined = rows.join(runs, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select("id", "text", "runs")
     schema = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
-    return joined.mapInArrow(_cover(k, with_text), schema).withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_column)
+    return joined.mapInArrow(_cover(k, with_text), schema).withColumnRenamed("id", id_column)

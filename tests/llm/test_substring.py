@@ -37,6 +37,7 @@ def make_rows(seed, n):
             words += rng.choice(passage) if rng.random() < 0.5 else [rng.choice("abc") for _ in range(rng.randint(1, 20))]
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(words)))
     rows += [(i + n, rows[i][1]) for i in range(0, n, 9)] + [(None, rows[1][1]), (None, rows[1][1]), (None, "a b c d e f g"), (n * 3, None), (n * 3, ""), (2, rows[5][1]), (2, rows[5][1])]
+    rows += [((1 << 63) - 1, rows[3][1]), ((1 << 63) - 1, "q r s t u v w x"), (None, "q r s t u v w x"), (-5, "o p q r s t u")]
     rows.append((n * 4, "same " * 5000))
     rows.append((n * 4 + 1, "same " * 300))
     rng.shuffle(rows)
