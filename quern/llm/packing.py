@@ -223,9 +223,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     by_part = materialise(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(bin_completion(counts, capacity, nodes))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).withColumn("rank", F.col("rank") + F.col("base"))
+    # Bases by part as one row a part, so that what meets the pieces has a row for each part only.
+    every = by_part.select("part").distinct().select(F.col("part").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(capacity))).alias("l"))
+    before = Window.partitionBy("l").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = every.join(by_part, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")), "left").select("p", "l", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = bases.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "base"))), lambda x: x["base"]).alias("bases"))
+    ranked = pieces.join(materialise(bases, "bases"), F.col("part") == F.col("p")).withColumn("rank", F.col("rank") + F.get("bases", (F.col("length") - 1).cast("int")))
     columns = ["id", "piece", "start", "length", "ids_crc32"]
     kind = pieces.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
