@@ -208,11 +208,12 @@ def worker_encoder(path: str) -> WordEncoder:
 
 
 def byte_balanced(rows: Iterable[tuple], size: int = 4 << 20, text_at: int = -1) -> Iterator[list[tuple]]:
-    """Group rows so that their texts hold about ``size`` characters together, whatever their number."""
+    """Group rows so that their texts hold about ``size`` bytes of UTF-8 together, whatever their number."""
     held, n = [], 0
     for row in rows:
         held.append(row)
-        n += len(row[text_at]) + 64
+        text = row[text_at]
+        n += (len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))) + 64
         if n >= size:
             yield held
             held, n = [], 0

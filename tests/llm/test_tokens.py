@@ -35,7 +35,7 @@ def test_long_texts_are_cut_safely(monkeypatch):
 def test_token_counts_of_odd_rows(spark):
     rows = [(1, "One two.", "x"), (2, None, None), (2, "", "x"), (None, "é é", "x"), (1, "One two.", "x"), (5, "long word " * 3000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    got = sorted(token_counts(df, PATH, batch_chars=10).collect(), key=str)
+    got = sorted(token_counts(df, PATH, batch_bytes=10).collect(), key=str)
     want = sorted(((d, len((t or "").encode()), len(LIBRARY.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in rows), key=str)
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert token_counts(df.limit(0), PATH).count() == 0
