@@ -6,6 +6,7 @@ text one with ``tool_call_id``. Calls and results meet in a hash join by convers
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -25,33 +26,68 @@ def _type_name(value: Column) -> Column:
     return F.when(kind.startswith("DECIMAL"), F.lit("number")).when(kind.startswith("OBJECT"), F.lit("object")).when(kind.startswith("ARRAY"), F.lit("array")).otherwise(named)
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _fits(value: Column, kinds: list[str]) -> Column:
+    got = _type_name(value)
+    return F.coalesce(got.isin(kinds) | (F.lit("number" in kinds) & (got == "integer")), F.lit(False))
+
+
+def _said(bad: Column, text: str) -> Column:
+    return F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(text))).otherwise(_none())
+
+
+def _value_errors(value: Column, schema: dict[str, Any], path: str) -> Column:
+    """What is wrong with a variant by a schema: type, enum, bounds of numbers and lengths, items, properties at any depth."""
+    checks = [_none()]
+    if kinds := schema.get("type"):
+        kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+        checks.append(_said(~_fits(value, kinds), f"{path} is not {' or '.join(kinds)}"))
+    if "enum" in schema:
+        known = [json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for x in schema["enum"]]
+        checks.append(_said(~F.to_json(value).isin(known), f"{path} is not in the list"))
+    number = F.when(_fits(value, ["number"]), value.cast("double"))
+    length = F.when(_fits(value, ["string"]), F.length(value.cast("string")))
+    for key, bad in (("minimum", number < schema.get("minimum")), ("maximum", number > schema.get("maximum")), ("minLength", length < schema.get("minLength")), ("maxLength", length > schema.get("maxLength"))):
+        if key in schema:
+            checks.append(_said(bad, f"{path} is beyond its {key}"))
+    if "items" in schema:
+        items = F.when(_type_name(value) == "array", value.cast("array<variant>"))
+        checks.append(F.coalesce(F.flatten(F.transform(items, lambda x: _value_errors(x, schema["items"], f"{path}[]"))), _none()))
+    if {"properties", "required", "additionalProperties"} & schema.keys():
+        checks.append(F.coalesce(F.when(_type_name(value) == "object", _object_errors(value, schema, f"{path}.")), _none()))
+    return F.concat(*checks)
+
+
+def _object_errors(value: Column, schema: dict[str, Any], path: str = "") -> Column:
+    given, properties = value.cast("map<string,variant>"), schema.get("properties", {})
+    wanted = F.array(*[F.lit(k) for k in sorted(schema.get("required", []))]).cast("array<string>")
+    checks = [F.transform(F.filter(wanted, lambda p: ~F.map_contains_key(given, p)), lambda p: F.concat(F.lit(f"missing {path}"), p))]
+    for key, inner in sorted(properties.items()):
+        checks.append(F.when(F.map_contains_key(given, F.lit(key)), _value_errors(F.try_element_at(given, F.lit(key)), inner, path + key)).otherwise(_none()))
+    if schema.get("additionalProperties") is False:
+        known = F.array(*[F.lit(k) for k in sorted(properties)]).cast("array<string>")
+        checks.append(F.transform(F.array_sort(F.array_except(F.map_keys(given), known)), lambda p: F.concat(F.lit(f"unknown {path}"), p)))
+    return F.concat(*checks)
+
+
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str, Any]]) -> Column:
     """What is wrong with a call's arguments, in a fixed order; an empty list if nothing is.
 
-    ``schemas`` holds JSON schemas of objects by tool: properties with a type, required names, additionalProperties.
-    A tool without a schema is an error if there are any schemas at all.
+    ``schemas`` holds JSON schemas of objects by tool: properties, required names and additionalProperties; of each value its type,
+    enum, minimum, maximum, minLength, maxLength, items and properties of its own. A tool without a schema is an error if there are any
+    schemas at all.
     """
     value = F.try_parse_json(arguments)
     is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    given = F.when(is_object, value.cast("map<string,variant>"))
-    none = F.array().cast("array<string>")
     found = F.when(~is_object, F.array(F.lit("arguments are not an object")))
     for tool, schema in sorted(schemas.items()):
-        properties = {k: v.get("type") for k, v in schema.get("properties", {}).items()}
-        missing = F.transform(F.filter(F.array(*map(F.lit, sorted(schema.get("required", [])))).cast("array<string>"), lambda p: ~F.map_contains_key(given, p)), lambda p: F.concat(F.lit("missing "), p))
-        checks = [none]
-        for key, kind in sorted((k, v) for k, v in properties.items() if v):
-            got = _type_name(F.try_element_at(given, F.lit(key)))
-            fits = (got == kind) | (F.lit(kind == "number") & (got == "integer"))
-            checks.append(F.when(F.map_contains_key(given, F.lit(key)) & ~F.coalesce(fits, F.lit(False)), F.array(F.lit(f"{key} is not {kind}"))).otherwise(none))
-        unknown = none
-        if schema.get("additionalProperties") is False:
-            known = F.array(*map(F.lit, sorted(properties))).cast("array<string>")
-            unknown = F.transform(F.array_sort(F.array_except(F.map_keys(given), known)), lambda p: F.concat(F.lit("unknown "), p))
-        found = found.when(name == tool, F.concat(missing, *checks, unknown))
+        found = found.when(name == tool, _object_errors(F.when(is_object, value), schema))
     if schemas:
-        return F.coalesce(found.otherwise(F.array(F.lit("unknown tool"))), none)
-    return found.otherwise(none)
+        return F.coalesce(found.otherwise(F.array(F.lit("unknown tool"))), _none())
+    return found.otherwise(_none())
 
 
 def parse_messages(messages: DataFrame, schemas: dict[str, dict[str, Any]] | None = None) -> DataFrame:

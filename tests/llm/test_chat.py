@@ -60,3 +60,39 @@ def test_levels_follow_chains_and_mark_cycles(spark):
     rows = [(1, "a", []), (1, "b", ["a", "a"]), (1, "c", ["b", "a"]), (1, "d", ["e"]), (1, "e", ["d"]), (1, "f", ["e"]), (2, "a", None), (2, "b", ["zz"])]
     got = {(r.conv_id, r.id): r.level for r in call_levels(spark.createDataFrame(rows, "conv_id long, id string, depends_on array<string>")).collect()}
     assert got == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): None, (1, "e"): None, (1, "f"): None, (2, "a"): 0, (2, "b"): 0}
+
+
+def test_values_are_checked_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm.chat import argument_errors
+
+    schemas = {"t": {"properties": {
+        "n": {"type": "integer", "minimum": 2, "maximum": 9}, "s": {"type": ["string", "null"], "minLength": 2, "maxLength": 3}, "e": {"enum": ["a", 1, {"k": []}]},
+        "o": {"type": "object", "properties": {"x": {"type": "boolean"}}, "required": ["y"], "additionalProperties": False}, "l": {"type": "array", "items": {"type": "number"}},
+    }}}
+    cases = [
+        ({"n": 5, "s": "ab", "e": {"k": []}, "o": {"y": 1, "x": True}, "l": [1, 2.5]}, ["unknown o.y"]),
+        ({"n": 1, "s": None, "e": "b", "o": {"x": 1}, "l": ["a", 1, []]}, ["e is not in the list", "l[] is not number", "l[] is not number", "n is beyond its minimum", "missing o.y", "o.x is not boolean"]),
+        ({"n": "9", "s": "a", "e": 1, "o": [], "l": {}}, ["l is not array", "n is not integer", "o is not object", "s is beyond its minLength"]),
+        ({"n": 10, "s": "abcd"}, ["n is beyond its maximum", "s is beyond its maxLength"]),
+        ([], ["arguments are not an object"]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(a)) for i, (a, _) in enumerate(cases)], "i int, a string")
+    got = {r.i: r.e for r in df.select("i", argument_errors(F.lit("t"), F.col("a"), schemas).alias("e")).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(cases)}
+
+
+def test_the_query_meets_every_status(spark):
+    import os
+
+    import pytest
+
+    from quern.llm.queries import op8_chat
+
+    sf = os.environ.get("QUERN_TEST_DATA", "/root/testdata") + "/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    rows = op8_chat(spark, sf).collect()
+    assert {r.status for r in rows} == {"linked", "duplicate", "early", "orphan", "unmarked", None}
+    assert any(r.n_errors for r in rows) and max(r.level for r in rows if r.level < 1 << 30) > 0
