@@ -1,11 +1,14 @@
-"""The engine's stemmer as steps over a vocabulary: each distinct token is stemmed once.
+"""The engine's stemmer, over a vocabulary in the JVM or over lists of tokens in Arrow batches; both follow the same tables.
 
 A Porter stemmer with British -ise forms, whole -tion and -sion in the fourth step, and y restored where i is the only
 vowel. The measure of a stem is a pattern once a leading y, a consonant, is written Y.
 """
 
-from __future__ import annotations
+import re
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +121,99 @@ def stem_vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     return with_stem(tokens.select(F.col(token).alias("token")).filter("token is not null").distinct().repartition(parts, "token"))
 
 
-def join_stems(rows: DataFrame, token: str, out: str = "stem") -> DataFrame:
-    """Rows with the stems of their tokens, by way of the vocabulary."""
-    vocabulary = stem_vocabulary(rows, token).withColumnRenamed("token", "_t").withColumnRenamed("stem", out)
-    return rows.join(vocabulary, F.col(token) == F.col("_t")).drop("_t")
+# Lists of tokens -----------------------------------------------------------------------------------------------------------
+
+_HAS = {p: re.compile(p).search for p in (SOME, ONE, MORE, VOWEL, SHORT, DOUBLE, "(at|bl|iz)$", "[lsz]$")}
+
+
+def _replaced(w: str, rules, measure: str) -> str:
+    for suffix, to in rules:
+        if w.endswith(suffix):
+            base = w[: -len(suffix)]
+            return base + to if _HAS[measure](base) else w
+    return w
+
+
+_LONGEST_FIRST = tuple((s, "") for s in sorted(STEP4, key=len, reverse=True))
+
+
+@lru_cache(maxsize=1 << 18)
+def stem_word(token: str) -> str:
+    """As :func:`stem_of`; a worker keeps the words that it has seen."""
+    if len(token) <= 3 or not token.isalpha():
+        return token
+    w = "Y" + token[1:] if token[0] == "y" else token
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _HAS[SOME](w[:-3]) else w
+    elif (cut := 2 if w.endswith("ed") else 3 if w.endswith("ing") else 0) and _HAS[VOWEL](w[:-cut]):
+        w = w[:-cut]
+        if _HAS["(at|bl|iz)$"](w):
+            w += "e"
+        elif _HAS[DOUBLE](w) and not _HAS["[lsz]$"](w):
+            w = w[:-1]
+        elif _HAS[ONE](w) and _HAS[SHORT](w):
+            w += "e"
+    if w.endswith("y") and _HAS[VOWEL](w[:-1]):
+        w = w[:-1] + "i"
+    w = _replaced(_replaced(_replaced(w, STEP2, SOME), STEP3, SOME), _LONGEST_FIRST, MORE)
+    if w.endswith("e") and (_HAS[MORE](w[:-1]) or (_HAS[ONE](w[:-1]) and not _HAS[SHORT](w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and _HAS[MORE](w):
+        w = w[:-1]
+    if w.endswith("i") and not _HAS[VOWEL](w[:-1]):
+        w = w[:-1] + "y"
+    return "y" + w[1:] if w[:1] == "Y" else w
+
+
+def _coded(lists: pa.Array, stemmed: bool) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Lengths of lists, the distinct terms of a batch and the term of every token by its number."""
+    coded = lists.flatten().dictionary_encode()
+    terms = coded.dictionary if not stemmed else pa.array([stem_word(t) for t in coded.dictionary.to_pylist()], pa.string())
+    return np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64), terms, coded.indices
+
+
+def _offsets(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
+def _stems(lists: pa.Array) -> pa.Array:
+    lengths, terms, at = _coded(lists, True)
+    return pa.ListArray.from_arrays(_offsets(lengths), terms.take(at))
+
+
+def _counts(stemmed: bool):
+    def count(lists: pa.Array) -> pa.Array:
+        lengths, terms, at = _coded(lists, stemmed)
+        # Tokens with one stem are one term: number terms, not tokens.
+        terms = terms.dictionary_encode()
+        code = np.asarray(terms.indices)[np.asarray(at)].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        width = max(1, len(terms.dictionary))
+        found, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * width + code, return_counts=True)
+        per_row = np.bincount(found // width, minlength=len(lengths)).astype(np.int64)
+        cells = pa.StructArray.from_arrays([terms.dictionary.take(pa.array(found % width)), pa.array(n, pa.int64())], names=["term", "tf"])
+        return pa.ListArray.from_arrays(_offsets(per_row), cells)
+
+    return count
+
+
+def stem_list(tokens: Column) -> Column:
+    """The stems of a list of tokens, in order; null is empty. Each distinct token of an Arrow batch is looked up once, and nothing is shuffled."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        return _stems(lists)
+
+    return F.arrow_udf(run, "array<string>")(tokens)
+
+
+def term_counts(tokens: Column, stemmed: bool = True) -> Column:
+    """(term, tf) of a list of tokens, each term once."""
+    count = _counts(stemmed)
+
+    def run(lists: pa.Array) -> pa.Array:
+        return count(lists)
+
+    return F.arrow_udf(run, "array<struct<term:string,tf:bigint>>")(tokens)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
+from quern.functions.stem import stem_list, stem_word
 from quern.operators import citations
-from quern.operators.terms import query_terms, stem_lists
 from quern.session import materialise
 
 # Thresholds of extraction and support, the refusal sentence, and words that only connect.
@@ -16,14 +16,14 @@ SUPPORT, MARGIN = 0.32, 0.25
 INSUFFICIENT = "The available documents do not contain enough information to answer this question."
 INSUFFICIENT_FRAGMENT = "do not contain enough information"
 DISCOURSE = "also consequently conversely furthermore however meanwhile moreover nevertheless nonetheless overall similarly therefore thus".split()
+DISCOURSE_STEMS = sorted(map(stem_word, DISCOURSE))
 
 
 def sentence_candidates(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, marker, pos, sentence, terms, tokens, score) of each sentence of passages (qid, marker, body)."""
     told = passages.filter("marker is not null").select("qid", "marker", F.posexplode(text.sentences("body")).alias("pos", "sentence"))
-    told = materialise(told, "sentences")
-    terms = stem_lists(told.select("sentence").distinct().withColumn("sid", F.xxhash64("sentence")), "sid", "sentence")
-    joined = told.withColumn("sid", F.xxhash64("sentence")).join(terms, "sid").join(query_terms(queries).withColumnRenamed("terms", "q"), "qid")
+    asked = queries.select("qid", stem_list(text.content_tokens("question")).alias("q"))
+    joined = told.withColumn("terms", stem_list(text.content_tokens("sentence"))).join(asked, "qid")
     return joined.select("qid", "marker", "pos", "sentence", "terms", text.token_estimate("sentence").alias("tokens"), scores.sentence_score(F.col("q"), F.col("terms"), F.col("marker")).alias("score"))
 
 
@@ -68,31 +68,24 @@ def check_support(answers: DataFrame, passages: DataFrame, threshold: float = SU
     above 0. Sentences with only connecting words are no claims and count as supported.
     """
     said = answers.select("qid", F.posexplode(citations.cited_sentences("answer")).alias("pos", "sentence"))
-    said = said.withColumn("bare", citations.strip_markers("sentence")).withColumn("sid", F.xxhash64("bare")).withColumn("found", citations.markers("sentence"))
+    said = said.withColumn("s_terms", stem_list(text.content_tokens(citations.strip_markers("sentence")))).withColumn("found", citations.markers("sentence"))
     said = materialise(said, "answer-sentences")
-    s_terms = stem_lists(said.select("sid", "bare").dropDuplicates(["sid"]), "sid", "bare", "s_terms")
-    shown = passages.filter("marker is not null").withColumn("pid", F.xxhash64("body"))
-    p_terms = stem_lists(shown.select("pid", "body").dropDuplicates(["pid"]), "pid", "body", "p_terms")
+    shown = passages.filter("marker is not null").withColumn("p_terms", stem_list(text.content_tokens("body")))
     known = shown.groupBy("qid").agg(F.collect_set("marker").alias("known"))
-    rows = said.join(s_terms, "sid").join(known, "qid", "left").withColumn("cited", F.array_sort(F.array_intersect("found", F.coalesce("known", F.array().cast("array<int>")))))
-    pairs = rows.join(shown.join(p_terms, "pid").select("qid", "marker", "p_terms"), "qid", "left").withColumn("overlap", F.coalesce(scores.containment(F.col("s_terms"), F.col("p_terms")), F.lit(0.0)))
+    rows = said.join(known, "qid", "left").withColumn("cited", F.array_sort(F.array_intersect("found", F.coalesce("known", F.array().cast("array<int>")))))
+    pairs = rows.join(shown.select("qid", "marker", "p_terms"), "qid", "left").withColumn("overlap", F.coalesce(scores.containment(F.col("s_terms"), F.col("p_terms")), F.lit(0.0)))
     best = F.max(F.struct("overlap", (-F.col("marker")).alias("m")))
     agg = pairs.groupBy("qid", "pos").agg(best.alias("b"), F.max(F.when(F.array_contains("cited", F.col("marker")), F.col("overlap"))).alias("cited_score"))
     out = rows.join(agg, ["qid", "pos"])
     out = out.withColumn("best_score", F.col("b.overlap")).withColumn("best_marker", F.when(F.col("b.overlap") > 0, -F.col("b.m")))
     has = F.size("cited") > 0
-    claim = F.exists("s_terms", lambda t: ~t.isin(_discourse_stems()))
+    claim = F.exists("s_terms", lambda t: ~t.isin(DISCOURSE_STEMS))
     fine = F.when(has, F.col("cited_score") >= threshold).when(F.lit(enforce), False).otherwise(F.col("best_score") >= threshold)
     wrong = claim & has & (F.col("best_score") - F.col("cited_score") >= margin)
     return out.select("qid", "pos", "sentence", claim.alias("is_claim"), "cited", "best_marker", F.bround("best_score", 6).alias("best_score"), F.bround("cited_score", 6).alias("cited_score"),
                       F.bround(F.when(has, F.col("cited_score")).otherwise(F.col("best_score")), 6).alias("score"), (~claim | fine).alias("supported"), wrong.alias("misattributed"))
 
 
-def _discourse_stems() -> list[str]:
-    # The stems of DISCOURSE.
-    return ["also", "consequ", "convers", "furthermor", "howev", "meanwhil", "moreov", "nevertheless", "nonetheless", "overal", "similarli", "therefor", "thu"]
-
-
 def groundedness(support: DataFrame) -> DataFrame:
     """(qid, n_claims, n_supported, groundedness, advises_refusal): supported claims over claims (1 without claims); refusal if no
     claim finds anything in any passage."""

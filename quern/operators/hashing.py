@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections import Counter
+from functools import lru_cache
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.functions.scores import bigrams, sublinear_tf
-from quern.operators.terms import stem_lists
+from quern.functions.scores import sublinear_tf
+from quern.functions.stem import stem_list
 
 # The feature space. Families: w content words, s stop words, b neighbouring pairs, c runs of four characters.
 DIM, GRAM, GRAM_TOKEN, MOST_GRAM_TOKENS = 1024, 4, 5, 400
 WEIGHTS = {"w": 1.0, "s": 0.25, "b": 0.6, "c": 0.35}
-KEY = b"kip-hashing-v1"
+#: Keys the digests of features; vectors of different keys do not compare.
+KEY = b"lexical-1"
 
 
-def hash_features(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, feature, n): the feature multiset of each text; features open with their family and a colon."""
-    tokens = rows.select(F.col(id_column).alias("_id"), text.tokens(text_column).alias("tokens")).dropDuplicates(["_id"])
-    stems = stem_lists(rows.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t")), "_id", "_t", "stems", content=False)
-    both = tokens.join(stems, "_id")
-    words = F.zip_with("tokens", "stems", lambda t, s: F.concat(F.when(t.isin(text.STOP_WORDS), "s:").otherwise("w:"), s))
-    pairs = F.transform(bigrams(F.col("stems")), lambda p: F.concat(F.lit("b:"), p))
-    long = F.slice(F.filter("tokens", lambda t: (F.length(t) >= GRAM_TOKEN) & ~t.isin(text.STOP_WORDS)), 1, MOST_GRAM_TOKENS)
-    padded = F.transform(long, lambda t: F.concat(F.lit("^"), t, F.lit("$")))
-    grams = F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - GRAM + 1), lambda i: F.concat(F.lit("c:"), F.substring(p, i, F.lit(GRAM))))))
-    return both.select("_id", F.explode(F.concat(words, pairs, grams)).alias("feature")).groupBy(F.col("_id").alias(id_column), "feature").agg(F.count(F.lit(1)).alias("n"))
+def _per_row(rows: DataFrame, id_column: str, text_column: str, schema: str, make) -> DataFrame:
+    """What ``make`` gives of a batch's ids and, by row, the counts of its features."""
+    tokens = rows.select(F.col(id_column), text.tokens(text_column).alias("tokens")).select(F.col(id_column), "tokens", stem_list(F.col("tokens")).alias("stems"))
+    kind = tokens.schema[id_column].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield make(batch.column(0), [Counter(_row_features(t, s)) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())])
 
+    return tokens.mapInArrow(run, f"`{id_column}` {kind}, {schema}")
 
-def _digest(feature: Column) -> Column:
-    """Keyed BLAKE2b of eight bytes, as a signed long; there is no such function in the JVM, so distinct features meet one Arrow function."""
 
-    def run(s):
-        from hashlib import blake2b
+def hash_features(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, feature, n): the feature multiset of each row's text; features open with their family and a colon."""
 
-        return s.map(lambda f: int.from_bytes(blake2b(f.encode(), key=KEY, digest_size=8).digest(), "little", signed=True))
+    def make(ids, counts):
+        at = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]), pa.int64())
+        return pa.RecordBatch.from_arrays([ids.take(at), pa.array([f for c in counts for f in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], names=[id_column, "feature", "n"])
 
-    return F.pandas_udf(run, "bigint")(feature)
+    return _per_row(rows, id_column, text_column, "feature string, n bigint", make)
 
 
 def weighted_features(features: DataFrame) -> DataFrame:
@@ -46,21 +52,45 @@ def weighted_features(features: DataFrame) -> DataFrame:
     return features.withColumn("family", family).withColumn("weight", weight * sublinear_tf(F.col("n")))
 
 
-def hash_embed(rows: DataFrame, id_column: str, text_column: str, dim: int = DIM) -> DataFrame:
-    """(id, vector array<float>) of length one for each id; texts without tokens have a zero vector.
+def hash_embed(rows: DataFrame, id_column: str, text_column: str, dim: int = DIM, key: bytes = KEY) -> DataFrame:
+    """(id, vector array<float>) of length one for each row; texts without tokens have a zero vector.
 
-    The least bit of a feature's digest is its sign, the rest its bucket. Digests are taken once for each distinct feature.
+    The least bit of a feature's digest is its sign, the rest its bucket. A row's features are hashed where the row is; a worker keeps the
+    digests that it has seen, and nothing is shuffled.
     """
-    features = weighted_features(hash_features(rows, id_column, text_column))
-    digests = features.select(F.col("feature").alias("_f")).distinct().withColumn("_h", _digest(F.col("_f")))
-    bucket = F.pmod(F.shiftrightunsigned("_h", 1), F.lit(dim)).cast("int")
-    signed = F.when(F.col("_h").bitwiseAND(1) == 1, -F.col("weight")).otherwise(F.col("weight"))
-    cells = features.join(digests, F.col("feature") == F.col("_f")).select(id_column, bucket.alias("b"), signed.alias("x")).groupBy(id_column, "b").agg(F.sum("x").alias("x"))
-    sparse = cells.groupBy(F.col(id_column).alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    ids = rows.select(id_column).distinct()
-    joined = ids.join(sparse, F.col(id_column) == F.col("_k"), "left")
-    value = lambda i: F.coalesce(F.try_element_at(F.col("m"), i) / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)).cast("float")
-    return joined.select(id_column, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("vector"))
+
+    def make(ids, counts):
+        cells = np.zeros((len(counts), dim), dtype=np.float64)
+        for i, found in enumerate(counts):
+            if found:
+                digests = np.fromiter((_digest_of(f, key) for f in found), dtype=np.uint64, count=len(found))
+                weights = np.fromiter((WEIGHTS[f[0]] * (1 + math.log(n)) for f, n in found.items()), dtype=np.float64, count=len(found))
+                np.add.at(cells[i], ((digests >> np.uint64(1)) % np.uint64(dim)).astype(np.int64), np.where(digests & np.uint64(1), -weights, weights))
+        norm = np.sqrt((cells**2).sum(axis=1, keepdims=True))
+        unit = np.divide(cells, norm, out=np.zeros_like(cells), where=norm > 0).astype(np.float32)
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim), pa.array(unit.reshape(-1)))], names=[id_column, "vector"])
+
+    return _per_row(rows, id_column, text_column, "vector array<float>", make)
+
+
+_STOPS = frozenset(text.STOP_WORDS)
+
+
+def _row_features(tokens: list[str], stems: list[str]):
+    """The features of one row, repeats kept."""
+    for t, s in zip(tokens, stems):
+        yield ("s:" if t in _STOPS else "w:") + s
+    for a, b in zip(stems, stems[1:]):
+        yield f"b:{a} {b}"
+    for t in [t for t in tokens if len(t) >= GRAM_TOKEN and t not in _STOPS][:MOST_GRAM_TOKENS]:
+        padded = f"^{t}$"
+        for i in range(len(padded) - GRAM + 1):
+            yield "c:" + padded[i : i + GRAM]
+
+
+@lru_cache(maxsize=1 << 19)
+def _digest_of(feature: str, key: bytes) -> int:
+    return int.from_bytes(blake2b(feature.encode(), key=key, digest_size=8).digest(), "little")
 
 
 def explain_vector(rows: DataFrame, id_column: str, text_column: str, most: int = 12) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyword search for batches of queries: an inverted index as tables, BM25 as a join and a sum.
 
-The index is a function of its chunks: postings (term, id, tf) and lengths (id, dl). Only postings of query terms are
-read into the scoring join; document frequency, count and mean length are aggregates of the same tables.
+The index is a function of its chunks: postings (term, id, tf, dl), terms (term, df, cf) and lengths (id, dl). A chunk's postings are
+counted where the chunk is read, so nothing is shuffled to build them; a search filters them by the query's terms.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
-from quern.functions.stem import join_stems
+from quern.functions.stem import stem_list, term_counts
 from quern.session import materialise
 
 
@@ -20,35 +20,40 @@ from quern.session import materialise
 class KeywordIndex:
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame
 
 
-def term_rows(rows: DataFrame, id_column: str, text_column: str, stemmed: bool = True, content: bool = True) -> DataFrame:
-    """(id, token, term, n): occurrences of each token in each text, counted before they are stemmed."""
-    found = text.content_tokens(text_column) if content else text.tokens(text_column)
-    counted = rows.select(F.col(id_column).cast("string").alias("id"), F.explode(found).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return join_stems(counted, "token", "term") if stemmed else counted.withColumn("term", F.col("token"))
+def _tokens(text_column: str, content: bool) -> Column:
+    return text.content_tokens(text_column) if content else text.tokens(text_column)
 
 
 def build_index(chunks: DataFrame, id_column: str = "id", text_column: str = "text", stemmed: bool = True, content: bool = True) -> KeywordIndex:
-    """Index all chunks; those without terms have length 0 and count towards the mean. Null texts are empty.
+    """Index all chunks; those without terms have length 0 and count towards the mean. Null texts are empty; rows that share an id are one chunk.
 
-    Both tables are written to the shared folder, so that texts are read and tokens stemmed once for all searches.
+    The tables are written to the shared folder, so that texts are read and tokens stemmed once for all searches.
     """
-    postings = materialise(term_rows(chunks, id_column, text_column, stemmed, content).groupBy("term", "id").agg(F.sum("n").alias("tf")), "postings")
-    long = postings.groupBy(F.col("id").alias("i")).agg(F.sum("tf").alias("dl"))
-    ids = chunks.select(F.col(id_column).cast("string").alias("id")).distinct()
-    return KeywordIndex(postings, materialise(ids.join(long, F.col("id") == F.col("i"), "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths"))
+    rows = chunks.select(F.col(id_column).cast("string").alias("id"), term_counts(_tokens(text_column, content), stemmed).alias("terms"))
+    counted = materialise(rows.select("id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).alias("dl"), "terms"), "counted")
+    postings, lengths = counted.select(F.explode("terms").alias("t"), "id", "dl").select("t.term", "id", "t.tf", "dl"), counted.select("id", "dl")
+    if not lengths.groupBy("id").count().filter("count > 1").isEmpty():
+        lengths = lengths.groupBy("id").agg(F.sum("dl").alias("dl"))
+        postings = postings.groupBy("term", "id").agg(F.sum("tf").alias("tf")).join(lengths, "id").select("term", "id", "tf", "dl")
+    return _index(materialise(postings, "postings"), materialise(lengths, "lengths"))
+
+
+def _index(postings: DataFrame, lengths: DataFrame) -> KeywordIndex:
+    return KeywordIndex(postings, lengths, materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "terms"))
 
 
 def index_stats(index: KeywordIndex) -> DataFrame:
     """One row: documents, terms, mean_length."""
     documents = index.lengths.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.bround(F.avg("dl"), 4), F.lit(0.0)).alias("mean_length"))
-    return documents.crossJoin(index.postings.agg(F.countDistinct("term").alias("terms"))).select("documents", "terms", "mean_length")
+    return documents.crossJoin(index.terms.agg(F.count(F.lit(1)).alias("terms"))).select("documents", "terms", "mean_length")
 
 
 def term_frequencies(index: KeywordIndex) -> DataFrame:
     """(term, df, cf): documents that hold a term, and its occurrences."""
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index.terms
 
 
 def ranked(scored: DataFrame, k: int | None, order: Column | None = None) -> DataFrame:
@@ -65,17 +70,18 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 24, idf: str = "bm2
     ``idf`` is "bm25" or "textbook". ``allowed`` (id), if given, restricts the ids that may be found: an empty one finds nothing. Statistics
     are those of the whole index. ``matched`` adds the query's words that were found, in order of terms.
     """
-    terms = term_rows(queries, "qid", "question", stemmed, content).groupBy(F.col("id").alias("qid"), "term").agg(F.min("token").alias("word"))
+    tokens = _tokens("question", content)
+    words = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(F.arrays_zip(tokens.alias("word"), (stem_list(tokens) if stemmed else tokens).alias("term"))).alias("t"))
+    asked = words.select("qid", "t.term", "t.word").groupBy("qid", "term").agg(F.min("word").alias("word"))
     corpus = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean"))
-    frequencies = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weigh = {"bm25": scores.bm25_idf, "textbook": scores.textbook_idf}[idf]
-    weights = frequencies.crossJoin(F.broadcast(corpus)).select("term", weigh(F.col("n_docs"), F.col("df")).alias("idf"), "mean")  # one row
-    postings, lengths = index.postings, index.lengths
+    # Written out, so that its size is known: Spark sends it to the postings if it is small, and splits common terms where it is not.
+    weights = asked.join(index.terms, "term").crossJoin(F.broadcast(corpus))  # one row
+    weights = materialise(weights.select("qid", "term", "word", weigh(F.col("n_docs"), F.col("df")).alias("idf"), "mean"), "query-terms")
+    postings = index.postings
     if allowed is not None:
         postings = postings.join(allowed.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
-    # The weight of a posting does not depend on the query: it is worked out once, before queries multiply the rows.
-    weighted = postings.join(weights, "term").join(lengths, "id").select("term", "id", (F.col("idf") * scores.bm25_tf(F.col("tf"), F.col("dl"), F.col("mean"))).alias("part"))
-    hits = terms.join(weighted, "term")
+    hits = postings.join(weights, "term").withColumn("part", F.col("idf") * scores.bm25_tf(F.col("tf"), F.col("dl"), F.col("mean")))
     found = [F.sum("part").alias("score")]
     if matched:
         found.append(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("term", "word"))), lambda x: x["word"]), " ").alias("matched"))
@@ -84,10 +90,20 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 24, idf: str = "bm2
 
 def upsert(index: KeywordIndex, added: KeywordIndex) -> KeywordIndex:
     """Rows of ``added`` replace those of the same ids."""
-    keep = lambda old, new: old.join(added.lengths.select("id"), "id", "left_anti").unionByName(new)
-    return KeywordIndex(keep(index.postings, added.postings), keep(index.lengths, added.lengths))
+    keep = lambda old, new: old.join(added.lengths.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
+    return _index(keep(index.postings, added.postings), keep(index.lengths, added.lengths))
 
 
 def delete(index: KeywordIndex, ids: DataFrame) -> KeywordIndex:
     gone = ids.select(F.col("id").cast("string").alias("id")).distinct()
-    return KeywordIndex(index.postings.join(gone, "id", "left_anti"), index.lengths.join(gone, "id", "left_anti"))
+    return _index(index.postings.join(gone, "id", "left_anti"), index.lengths.join(gone, "id", "left_anti"))
+
+
+def sync(index: KeywordIndex, chunks: DataFrame, documents: DataFrame, id_column: str = "id", text_column: str = "text", document: str = "document_id") -> KeywordIndex:
+    """The index of the chunks of live ``documents``: chunks of others go, those that it lacks are added; texts that it holds are not read again."""
+    live = chunks.join(documents.select(document).distinct(), document, "left_semi").withColumn("_id", F.col(id_column).cast("string"))
+    kept = index.lengths.join(live.select(F.col("_id").alias("id")), "id", "left_semi")
+    missing = live.join(index.lengths.select(F.col("id").alias("_id")), "_id", "left_anti")
+    added = build_index(missing, "_id", text_column)
+    held = index.postings.join(kept.select("id"), "id", "left_semi").select("term", "id", "tf", "dl")
+    return _index(materialise(held.unionByName(added.postings), "postings"), materialise(kept.select("id", "dl").unionByName(added.lengths), "lengths"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import scores
-from quern.operators.terms import query_terms, stem_lists
+from quern.functions import scores, text
+from quern.functions.stem import stem_list
+from quern.operators.terms import query_terms
 from quern.session import materialise
 
 MOST_CHARS = 4000
@@ -20,6 +21,11 @@ def hydrate(hits: DataFrame, chunks: DataFrame, id_column: str = "id", text_colu
     return hits.join(known, id_column)
 
 
+def heading_or_path(heading: Column, path: Column) -> Column:
+    """The label of a passage: its heading, or its section path where that is missing or empty."""
+    return F.coalesce(F.nullif(heading, F.lit("")), F.array_join(path, " > "), F.lit(""))
+
+
 def _reorder(scored: DataFrame, top_n: int | None) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("rerank_score").desc(), F.col("rank").asc(), F.col("id").asc())
     out = scored.withColumn("new_rank", F.row_number().over(w)).withColumn("movement", F.col("rank") - F.col("new_rank"))
@@ -27,14 +33,10 @@ def _reorder(scored: DataFrame, top_n: int | None) -> DataFrame:
 
 
 def signals(queries: DataFrame, candidates: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """Candidates (qid, id, rank, text, heading) with coverage, proximity, phrase, heading_overlap and prior.
-
-    Each distinct passage and heading is stemmed once, however many queries it is a candidate of.
-    """
-    candidates = materialise(candidates, "candidates")
-    passages = candidates.select("id", F.substring("text", 1, most_chars).alias("text"), "heading").dropDuplicates(["id"])
-    terms = stem_lists(passages, "id", "text", "p_terms").join(stem_lists(passages, "id", "heading", "h_terms", content=False), "id")
-    joined = candidates.join(query_terms(queries).withColumnRenamed("terms", "q_terms"), "qid").join(terms, "id")
+    """Candidates (qid, id, rank, text, heading) with coverage, proximity, phrase, heading_overlap and prior."""
+    found = materialise(candidates, "candidates")
+    found = found.withColumn("p_terms", stem_list(text.content_tokens(F.substring("text", 1, most_chars)))).withColumn("h_terms", stem_list(text.tokens("heading")))
+    joined = found.join(query_terms(queries).withColumnRenamed("terms", "q_terms"), "qid")
     q, p = F.col("q_terms"), F.col("p_terms")
     return joined.select(
         *candidates.columns, scores.term_coverage(q, p).alias("coverage"), scores.proximity(q, p).alias("proximity"), scores.phrase_overlap(q, p).alias("phrase"),

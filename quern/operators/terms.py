@@ -1,4 +1,4 @@
-"""Ordered lists of stems for texts, by way of the vocabulary."""
+"""Ordered lists of stems for texts."""
 
 from __future__ import annotations
 
@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.functions.stem import join_stems
+from quern.functions.stem import stem_list
 
 
 def stem_lists(rows: DataFrame, id_column: str, text_column: str, out: str = "terms", content: bool = True) -> DataFrame:
-    """(id, out): the stems of each text's tokens in order, repeats kept; an empty list for texts without any. One row for each id."""
+    """(id, out): the stems of each text's tokens in order, repeats kept; an empty list for texts without any. One row for each row."""
     found = text.content_tokens(text_column) if content else text.tokens(text_column)
-    base = rows.select(F.col(id_column).alias("_id"), found.alias("_tokens")).dropDuplicates(["_id"])
-    placed = join_stems(base.select("_id", F.posexplode("_tokens").alias("_at", "_token")), "_token", "_stem")
-    lists = placed.groupBy(F.col("_id").alias("_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_stem"))), lambda x: x["_stem"]).alias(out))
-    return base.join(lists, F.col("_id") == F.col("_k"), "left").select(F.col("_id").alias(id_column), F.coalesce(out, F.array().cast("array<string>")).alias(out))
+    return rows.select(F.col(id_column), stem_list(found).alias(out))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, terms): content stems of each question; where it has none, the stems of its stop words."""
-    content = stem_lists(queries, "qid", "question")
-    stops = queries.select("qid", F.array_join(F.filter(text.tokens("question"), lambda t: t.isin(text.STOP_WORDS)), " ").alias("question"))
-    fallback = stem_lists(stops, "qid", "question", "stops", content=False)
-    return content.join(fallback, "qid").select("qid", F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.col("stops")).alias("terms"))
+    both = queries.select("qid", stem_list(text.content_tokens("question")).alias("terms"), stem_list(F.filter(text.tokens("question"), lambda t: t.isin(text.STOP_WORDS))).alias("stops"))
+    return both.select("qid", F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.col("stops")).alias("terms"))

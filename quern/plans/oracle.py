@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.functions import stem, text
+from quern.operators.answer import DISCOURSE_STEMS
 from quern.operators.hashing import GRAM, GRAM_TOKEN, MOST_GRAM_TOKENS
 
 
@@ -81,12 +82,14 @@ def stems(source: str, name: str = "vocab") -> str:
     return ", ".join(ctes)
 
 
+HEAD = f"array_to_string(list_slice({words('text')}, 1, 8), ' ')"
+CLAIM = "translate(text, '.!?', '   ')"
 Q = "SELECT CAST(item_id AS VARCHAR) AS qid, text AS question FROM benchmark"
 
 
 def _index(stemmed: bool, contents: bool) -> str:
     of = content if contents else tok
-    parts = [f"dt AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({of('text')}) AS token FROM documents)", f"qt AS MATERIALIZED (SELECT qid, unnest({of('question')}) AS token FROM ({Q}))", f"allt AS (SELECT token FROM dt UNION SELECT token FROM qt UNION SELECT unnest({of('left(text, 4000)')}) FROM documents)"]
+    parts = [f"dt AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({of('text')}) AS token FROM documents)", f"qt AS MATERIALIZED (SELECT qid, unnest({of('question')}) AS token FROM ({Q}))", f"allt AS (SELECT token FROM dt UNION SELECT token FROM qt UNION SELECT unnest({of('left(text, 4000)')}) FROM documents UNION SELECT unnest({tok(HEAD)}) FROM documents UNION SELECT unnest({of(CLAIM)}) FROM benchmark)"]
     if stemmed:
         parts.append(stems("allt"))
     else:
@@ -120,19 +123,36 @@ def _fusion(method: str) -> str:
 
 
 _STEMMED = _index(True, True)
-_LISTS = f"WITH {_STEMMED}, {_scored('a')}, {_scored('b', 'textbook')}"
+_NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * x)))"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * z[2]))"
+_COS = f"round_even(greatest(-1, least(1, {_DOT.format('q.embedding', 'c.embedding')} / ({_NORM.format('q.embedding')} * {_NORM.format('c.embedding')}))), 6)"
+#: Nearest documents to the vector with a benchmark item's number.
+_NEAR = (
+    "dv AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), "
+    f"b_s AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(c.vec_id AS VARCHAR) AS id, {_COS} AS score FROM dv q, dv c WHERE q.vec_id IN (SELECT item_id FROM benchmark)), "
+    "b AS MATERIALIZED (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b_s) WHERE rank <= 10)"
+)
+_LISTS = f"WITH {_STEMMED}, {_scored('a')}, {_NEAR}"
 _TOPK = "SELECT qid, id, score, CAST(rank AS BIGINT) AS rank FROM "
 
-#: Ordered stems of candidates and queries over the candidates of list a.
-_TERMS = (
-    f"qpos AS (SELECT qid, pos, stem FROM (SELECT qid, unnest({content('question')}) AS token, generate_subscripts({content('question')}, 1) AS pos FROM ({Q})) JOIN vocab USING (token)), "
-    "ql AS (SELECT qid, list(stem ORDER BY pos) AS q FROM qpos GROUP BY qid), "
-    f"ppos AS (SELECT id, pos, stem FROM (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({content('left(text, 4000)')}) AS token, generate_subscripts({content('left(text, 4000)')}, 1) AS pos FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT id FROM a)) JOIN vocab USING (token)), "
-    "pl AS (SELECT id, list(stem ORDER BY pos) AS p FROM ppos GROUP BY id), "
-    "pairs AS MATERIALIZED (SELECT a.*, ql.q, coalesce(pl.p, []) AS p FROM a JOIN ql USING (qid) LEFT JOIN pl USING (id))"
-)
+
+
+def _terms(body: str) -> str:
+    """Ordered stems of queries, and of what a reranker reads of the candidates of list a (or all of them)."""
+    return (
+        f"qpos AS (SELECT qid, pos, stem FROM (SELECT qid, unnest({content('question')}) AS token, generate_subscripts({content('question')}, 1) AS pos FROM ({Q})) JOIN vocab USING (token)), "
+        "ql AS (SELECT qid, list(stem ORDER BY pos) AS q FROM qpos GROUP BY qid), "
+        f"ppos AS (SELECT id, pos, stem FROM (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({content(body)}) AS token, generate_subscripts({content(body)}, 1) AS pos FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT id FROM a)) JOIN vocab USING (token)), "
+        "pl AS (SELECT id, list(stem ORDER BY pos) AS p FROM ppos GROUP BY id), "
+        f"hl AS (SELECT id, list(DISTINCT stem) AS h FROM (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({tok(HEAD)}) AS token FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT id FROM a)) JOIN vocab USING (token) GROUP BY id), "
+        "pairs AS MATERIALIZED (SELECT a.*, ql.q, coalesce(pl.p, []) AS p, coalesce(hl.h, []) AS h FROM a JOIN ql USING (qid) LEFT JOIN pl USING (id) LEFT JOIN hl USING (id))"
+    )
+
+
+_TERMS, _WHOLE = _terms("left(text, 4000)"), _terms("text")
 _BIGRAMS = lambda x: f"list_distinct(list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1]))"
 _COVERAGE = "CASE WHEN len(q) = 0 THEN 0 ELSE round_even(len(list_intersect(list_distinct(q), p)) / len(list_distinct(q)), 4) END"
+_HEADING_OVERLAP = "CASE WHEN len(q) = 0 THEN 0 ELSE round_even(len(list_intersect(list_distinct(q), h)) / len(list_distinct(q)), 4) END"
 _PHRASE = f"CASE WHEN len(q) < 2 THEN 0 ELSE round_even(len(list_intersect({_BIGRAMS('q')}, {_BIGRAMS('p')})) / len({_BIGRAMS('q')}), 4) END"
 #: The narrowest span: for each matched position, the least of the last positions of all matched terms.
 _PROXIMITY = (
@@ -146,26 +166,23 @@ _PROXIMITY = (
     "proximity AS (SELECT qid, id, CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 WHEN best <= n THEN 1.0 WHEN best >= 60 THEN 0.0 ELSE round_even(1 - (best - n) / (60.0 - n)::DOUBLE, 4) END AS proximity FROM prox)"
 )
 _RERANK = (
-    f"{_LISTS}, {_TERMS}, {_PROXIMITY}, sig AS (SELECT pairs.qid, pairs.id, rank, {_COVERAGE} AS coverage, {_PHRASE} AS phrase, proximity.proximity, 10.0 / (9 + rank) AS prior FROM pairs JOIN proximity ON proximity.qid = pairs.qid AND proximity.id = pairs.id), "
-    "re AS (SELECT *, round_even(0.40 * coverage + 0.20 * proximity + 0.10 * phrase + 0.25 * prior, 6) AS rerank_score FROM sig), "
+    f"{_LISTS}, {_TERMS}, {_PROXIMITY}, sig AS (SELECT pairs.qid, pairs.id, rank, {_COVERAGE} AS coverage, {_PHRASE} AS phrase, {_HEADING_OVERLAP} AS heading, proximity.proximity, 10.0 / (9 + rank) AS prior FROM pairs JOIN proximity ON proximity.qid = pairs.qid AND proximity.id = pairs.id), "
+    "re AS (SELECT *, round_even(0.40 * coverage + 0.20 * proximity + 0.10 * phrase + 0.05 * heading + 0.25 * prior, 6) AS rerank_score FROM sig), "
     "rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rank, id) AS new_rank FROM re)"
 )
-_NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * x)))"
-_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * z[2]))"
-
-
 def _dense(where: str = "TRUE") -> str:
-    cos = f"{_DOT.format('q.embedding', 'c.embedding')} / ({_NORM.format('q.embedding')} * {_NORM.format('c.embedding')})"
     return (
-        f"WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(c.vec_id AS VARCHAR) AS id, round_even(greatest(-1, least(1, {cos})), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND {where}), "
+        f"WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(c.vec_id AS VARCHAR) AS id, {_COS} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND {where}), "
         "d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10) "
     )
 
 
 _GRAMS = lambda e: f"list_distinct(list_transform(range(1, len({e}) - 6), lambda i: array_to_string(list_slice({e}, i, i + 7), ' ')))"
 _SUPPORT = (
-    f"{_LISTS}, {_TERMS.replace(_COVERAGE, _COVERAGE)}, sup AS (SELECT qid, rank AS marker, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(list_distinct(q), p)) / len(list_distinct(q)) END AS overlap FROM pairs WHERE rank <= 4), "
-    "bestm AS (SELECT qid, max(overlap) AS best_score, arg_min(marker, (-overlap, marker)) AS m FROM sup GROUP BY qid)"
+    f"{_LISTS}, {_WHOLE}, ct AS (SELECT qid, list(DISTINCT stem) AS s FROM (SELECT CAST(item_id AS VARCHAR) AS qid, unnest({content(CLAIM)}) AS token FROM benchmark) JOIN vocab USING (token) GROUP BY qid), "
+    "sup AS (SELECT ct.qid, rank, s, coalesce(len(list_intersect(s, p)) / len(s), 0) AS overlap FROM ct LEFT JOIN pairs USING (qid)), "
+    "bestm AS (SELECT qid, any_value(s) AS s, max(overlap) AS best, min_by(rank, (-overlap, rank)) AS m, max(CASE WHEN rank = 1 THEN overlap END) AS cited FROM sup GROUP BY qid), "
+    f"judged AS (SELECT *, len(list_filter(s, lambda t: NOT list_contains([{', '.join(map(_lit, DISCOURSE_STEMS))}], t))) > 0 AS claim FROM bestm)"
 )
 _MARKED = "coalesce(text, '') || ' Both agree [1, 3], see [2][1] .'"
 _MARKERS = f"regexp_extract_all({_MARKED}, '\\[\\s*(\\d{{1,3}}(?:\\s*[,;]\\s*\\d{{1,3}})*)\\s*\\]')"
@@ -197,6 +214,14 @@ _HEADING = (
     "((numbered AND n_rest <= 12 AND regexp_matches(rest, '^\\p{Lu}')) OR (letters <> '' AND NOT regexp_matches(letters, '[^\\p{Lu}]') AND n <= 10) OR (titled >= greatest(2, CAST(floor(0.7 * n) AS INT)) AND NOT ends_with(line, '.')))"
 )
 
+#: (doc_id, family, f, n): the features of hash vectors.
+_FEATURES = (
+    f"WITH t AS (SELECT doc_id, {tok('text')} AS k FROM documents), x AS (SELECT doc_id, unnest(k) AS token, generate_subscripts(k, 1) AS pos FROM t), {stems('x')}, s AS (SELECT doc_id, pos, token, stem FROM x JOIN vocab USING (token)), "
+    f"w AS (SELECT doc_id, CASE WHEN list_contains({STOPS}, token) THEN 's' ELSE 'w' END AS family, stem AS f FROM s), b AS (SELECT doc_id, 'b' AS family, stem || ' ' || lead(stem) OVER (PARTITION BY doc_id ORDER BY pos) AS f FROM s), "
+    f"l AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM x WHERE length(token) >= {GRAM_TOKEN} AND NOT list_contains({STOPS}, token)), c AS (SELECT doc_id, 'c' AS family, unnest(list_transform(range(1, length(token) + 3 - {GRAM} + 1), lambda i: substr('^' || token || '$', i, {GRAM}))) AS f FROM l WHERE n <= {MOST_GRAM_TOKENS}), "
+    "fc AS (SELECT doc_id, family, f, count(*) AS n FROM (SELECT * FROM w UNION ALL SELECT * FROM b WHERE f IS NOT NULL UNION ALL SELECT * FROM c) GROUP BY ALL)"
+)
+
 SQL: dict[str, str] = {
     "token_stats": f"SELECT doc_id, len({tok('text')}) AS n_tokens, len(list_distinct({tok('text')})) AS n_distinct FROM documents",
     "content_token_stats": f"SELECT doc_id, len({content('text')}) AS n_content, len(list_distinct({content('text')})) AS n_distinct FROM documents",
@@ -225,6 +250,7 @@ SQL: dict[str, str] = {
     "bm25_filtered": f"WITH {_STEMMED}, {_scored('a', where='post.id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)')} {_TOPK} a",
     "dense_topk": _dense() + "SELECT qid, id, score, CAST(rank AS BIGINT) AS rank FROM d",
     "dense_filtered": _dense("c.label IN (1, 2)") + "SELECT qid, id, score, CAST(rank AS BIGINT) AS rank FROM d",
+    "ann_lsh": _dense() + "SELECT qid, id, score, CAST(rank AS BIGINT) AS rank FROM d",
     "vector_norms": f"SELECT vec_id, round_even({_NORM.format('embedding')}, 6) AS norm FROM embeddings",
     "similarity_bands": _dense() + "SELECT qid, id, (score + 1) / 2 AS confidence, CASE WHEN score >= 0.55 THEN 'strong' WHEN score >= 0.28 THEN 'moderate' ELSE 'weak' END AS band FROM d",
     "evidence_gate": _dense() + "SELECT qid, count(*) AS n_hits, max(score) AS top_score, CASE WHEN max(score) < 0.16 THEN 'weak_match' ELSE 'ok' END AS status FROM d WHERE qid <> id GROUP BY qid",
@@ -236,9 +262,10 @@ SQL: dict[str, str] = {
     "phrase_overlap": f"{_LISTS}, {_TERMS} SELECT qid, id, {_PHRASE} AS phrase FROM pairs",
     "proximity": f"{_LISTS}, {_TERMS}, {_PROXIMITY} SELECT qid, id, proximity FROM proximity",
     "heuristic_rerank": f"{_RERANK} SELECT qid, id, rerank_score, new_rank, rank - new_rank AS movement FROM rr WHERE new_rank <= 6",
-    "jaccard_pairs": f"{_LISTS}, {_TERMS} SELECT qid, id, round_even(len(list_intersect(list_distinct(q), p)) / (len(list_distinct(q)) + len(list_distinct(p)) - len(list_intersect(list_distinct(q), p))), 6) AS jaccard, round_even(len(list_intersect(list_distinct(q), p)) / len(list_distinct(q)), 6) AS containment FROM pairs",
-    "support_check": f"{_SUPPORT} SELECT qid, CAST(CASE WHEN best_score > 0 THEN m END AS INTEGER) AS best_marker, round_even(best_score, 6) AS best_score, best_score >= 0.32 AS supported FROM bestm",
-    "groundedness": f"{_SUPPORT} SELECT count(*) AS n_claims, CAST(sum(CAST(best_score >= 0.32 AS INT)) AS BIGINT) AS n_supported, round_even(avg(CAST(best_score >= 0.32 AS INT)), 4) AS groundedness FROM bestm",
+    "heading_overlap": f"{_LISTS}, {_TERMS} SELECT qid, id, {_HEADING_OVERLAP} AS heading_overlap FROM pairs",
+    "jaccard_pairs": f"{_LISTS}, {_WHOLE} SELECT qid, id, round_even(len(list_intersect(list_distinct(q), p)) / (len(list_distinct(q)) + len(list_distinct(p)) - len(list_intersect(list_distinct(q), p))), 6) AS jaccard, round_even(len(list_intersect(list_distinct(q), p)) / len(list_distinct(q)), 6) AS containment FROM pairs",
+    "support_check": f"{_SUPPORT} SELECT qid, claim AS is_claim, CAST(CASE WHEN best > 0 THEN m END AS INTEGER) AS best_marker, round_even(best, 6) AS best_score, round_even(cited, 6) AS cited_score, NOT claim OR coalesce(cited >= 0.32, FALSE) AS supported, coalesce(claim AND best - cited >= 0.25, FALSE) AS misattributed FROM judged",
+    "groundedness": f"{_SUPPORT} SELECT qid, CAST(claim AS BIGINT) AS n_claims, CAST(claim AND coalesce(cited >= 0.32, FALSE) AS BIGINT) AS n_supported, CASE WHEN claim THEN CAST(coalesce(cited >= 0.32, FALSE) AS DOUBLE) ELSE 1.0 END AS groundedness, claim AND best <= 0 AS advises_refusal FROM judged",
     "recall_mrr": f"{_LISTS}, dg AS (SELECT id, unnest({_GRAMS('t')}) AS g FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {tok('text')} AS t FROM documents)), qg AS (SELECT qid, unnest({_GRAMS('t')}) AS g FROM (SELECT qid, {tok('question')} AS t FROM ({Q}))), rel AS (SELECT DISTINCT qid, id FROM qg JOIN dg USING (g)), nrel AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid), "
     "hit AS (SELECT a.qid, rank FROM a JOIN rel ON rel.qid = a.qid AND rel.id = a.id) SELECT q.qid, coalesce(n, 0) AS n_relevant, CASE WHEN n IS NULL THEN 1.0 ELSE round_even((SELECT count(*) FROM hit WHERE hit.qid = q.qid) / n, 6) END AS recall, CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(round_even(1.0 / (SELECT min(rank) FROM hit WHERE hit.qid = q.qid), 6), 0) END AS reciprocal_rank "
     f"FROM ({Q}) q LEFT JOIN nrel ON nrel.qid = q.qid",
@@ -247,10 +274,9 @@ SQL: dict[str, str] = {
     "documents_page": "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 20",
     "marker_counts": f"SELECT doc_id, CAST(m AS INTEGER) AS marker, count(*) AS n FROM (SELECT doc_id, unnest(flatten(list_transform({_MARKERS}, lambda g: regexp_extract_all(g, '\\d+')))) AS m FROM documents) GROUP BY ALL",
     "strip_markers": "SELECT doc_id, md5(" + _tidy(f"regexp_replace({_MARKED}, '\\[\\s*(\\d{{1,3}}(?:\\s*[,;]\\s*\\d{{1,3}})*)\\s*\\]', '', 'g')") + ") AS digest FROM documents",
-    "hash_features": f"WITH t AS (SELECT doc_id, {tok('text')} AS k FROM documents), x AS (SELECT doc_id, unnest(k) AS token, generate_subscripts(k, 1) AS pos FROM t), {stems('x')}, s AS (SELECT doc_id, pos, token, stem FROM x JOIN vocab USING (token)), "
-    f"w AS (SELECT doc_id, CASE WHEN list_contains({STOPS}, token) THEN 's' ELSE 'w' END AS family, stem AS f FROM s), b AS (SELECT doc_id, 'b' AS family, stem || ' ' || lead(stem) OVER (PARTITION BY doc_id ORDER BY pos) AS f FROM s), "
-    f"l AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM x WHERE length(token) >= {GRAM_TOKEN} AND NOT list_contains({STOPS}, token)), c AS (SELECT doc_id, 'c' AS family, unnest(list_transform(range(1, length(token) + 3 - {GRAM} + 1), lambda i: substr('^' || token || '$', i, {GRAM}))) AS f FROM l WHERE n <= {MOST_GRAM_TOKENS}) "
-    "SELECT doc_id, family, count(DISTINCT f) AS n_distinct, count(*) AS n FROM (SELECT * FROM w UNION ALL SELECT * FROM b WHERE f IS NOT NULL UNION ALL SELECT * FROM c) GROUP BY ALL",
+    "hash_features": f"{_FEATURES} SELECT doc_id, family, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n FROM fc GROUP BY ALL",
+    "explain_vector": _FEATURES.replace("doc_id", "qid").replace("FROM documents)", f"FROM (SELECT qid, question AS text FROM ({Q})))")
+    + " SELECT qid, family || ':' || f AS feature, round_even(w, 6) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY w DESC, family || ':' || f) AS INTEGER) AS place FROM (SELECT *, CASE family WHEN 'w' THEN 1.0 WHEN 's' THEN 0.25 WHEN 'b' THEN 0.6 ELSE 0.35 END * (1 + ln(n)) AS w FROM fc)) WHERE place <= 12",
     "upsert_latest": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
     "orphan_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "delete_by_filter": "SELECT doc_id, lang FROM documents WHERE NOT (lang IN ('en', 'fr') AND source IN ('src1', 'src2', 'src3'))",
@@ -260,6 +286,6 @@ SQL: dict[str, str] = {
     "document_titles": "SELECT l.doc_id AS document_id, coalesce(CASE WHEN d.source = 'src0' THEN NULL ELSE d.source END, CAST(l.doc_id AS VARCHAR)) AS title FROM labels l LEFT JOIN documents d USING (doc_id)",
     "repeated_lines": "WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS a FROM documents GROUP BY source), c AS (SELECT source, line, count(DISTINCT doc_id) AS pages FROM l WHERE length(line) BETWEEN 3 AND 120 GROUP BY ALL) SELECT source, line, pages FROM c JOIN n USING (source) WHERE a >= 3 AND pages >= greatest(3, round_even(a * 0.05, 0))",
     "min_max_scores": f"{_LISTS}, m AS (SELECT qid, id, score, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM a) SELECT qid, id, round_even(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS normalised FROM m",
-    "dense_levels": "SELECT doc_id AS document_id, quality * 4 + toxic * 2 AS level, dense_rank() OVER (ORDER BY quality * 4 + toxic * 2) AS dense_level FROM labels",
+    "dense_levels": "SELECT source AS document_id, doc_id, quality * 4 + toxic * 2 AS level, dense_rank() OVER (PARTITION BY source ORDER BY quality * 4 + toxic * 2) AS dense_level FROM labels JOIN documents USING (doc_id)",
     "json_payload": "SELECT doc_id, source, lang FROM documents",
 }

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scores, text
-from quern.functions.stem import stem_vocabulary
+from quern.functions.stem import stem_list, stem_vocabulary
 from quern.operators import answer, chunking, citations, context, dense, fusion, hashing, keyword, rerank, tables
-from quern.operators.terms import query_terms, stem_lists
+from quern.operators.terms import query_terms
 from quern.session import materialise, spread
 from quern.sources import files
 
@@ -43,8 +43,15 @@ def _per_doc(name: str, columns: Callable[[], list]) -> None:
 
 
 _size = lambda c: F.size(c).cast("long")
-_per_doc("token_stats", lambda: [_size(text.tokens("text")).alias("n_tokens"), _size(F.array_distinct(text.tokens("text"))).alias("n_distinct")])
-_per_doc("content_token_stats", lambda: [_size(text.content_tokens("text")).alias("n_content"), _size(F.array_distinct(text.content_tokens("text"))).alias("n_distinct")])
+
+
+def _list_sizes(name: str, found: Callable, column: str) -> None:
+    """Sizes of a list that is made once: an explode of one row keeps the optimizer from writing it twice."""
+    QUERIES[name] = lambda spark, d: docs(spark, d).select("doc_id", F.explode(F.array(found("text"))).alias("t")).select("doc_id", _size(F.col("t")).alias(column), _size(F.array_distinct("t")).alias("n_distinct"))
+
+
+_list_sizes("token_stats", text.tokens, "n_tokens")
+_list_sizes("content_token_stats", text.content_tokens, "n_content")
 _per_doc("token_estimate", lambda: [text.token_estimate("text").alias("tokens")])
 _per_doc("truncate_to_tokens", lambda: [F.md5(text.truncate_to_tokens("text", 100)).alias("digest")])
 _per_doc("clean_text_fingerprint", lambda: [F.md5(text.clean_text("text")).alias("digest"), F.length(text.clean_text("text")).cast("long").alias("n")])
@@ -110,8 +117,15 @@ def repeated_lines(spark, d):
 # Keyword search --------------------------------------------------------------------------------------------------------
 
 
+_INDEXES: dict[tuple, keyword.KeywordIndex] = {}
+
+
 def _index(spark, d, **options) -> keyword.KeywordIndex:
-    return keyword.build_index(docs(spark, d), "doc_id", "text", **options)
+    """The index over a folder's documents, built once for all queries of an application."""
+    key = (spark.sparkContext.applicationId, d, *sorted(options.items()))
+    if key not in _INDEXES:
+        _INDEXES[key] = keyword.build_index(docs(spark, d), "doc_id", "text", **options)
+    return _INDEXES[key]
 
 
 def _bm25(spark, d, k=10, **options) -> DataFrame:
@@ -220,8 +234,10 @@ def explain_vector(spark, d):
 
 
 def _lists(spark, d) -> dict[str, DataFrame]:
-    index, questions = _index(spark, d), asked(spark, d)
-    return {"dense": keyword.search(index, questions, 10, idf="textbook"), "keyword": keyword.search(index, questions, 10)}
+    """Keyword hits of the benchmark items, and as the dense list the nearest documents to the vector that shares an item's number."""
+    v = _vectors(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = dense.exact_search(v.select("id", "v"), v.join(asked(spark, d), F.col("id") == F.col("qid")).select("qid", "v"), 10)
+    return {"dense": near, "keyword": keyword.search(_index(spark, d), asked(spark, d), 10)}
 
 
 @query
@@ -255,7 +271,7 @@ def min_max_scores(spark, d):
 
 
 def _candidates(spark, d) -> DataFrame:
-    chunks = docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.lit("").alias("heading"), F.col("source").alias("document_id"))
+    chunks = docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.array_join(F.slice(text.words("text"), 1, 8), " ").alias("heading"), F.col("source").alias("document_id"))
     return rerank.hydrate(_bm25(spark, d).select("qid", "id", "rank", "score"), chunks)
 
 
@@ -274,6 +290,11 @@ def proximity(spark, d):
     return rerank.signals(asked(spark, d), _candidates(spark, d)).select("qid", "id", "proximity")
 
 
+@query
+def heading_overlap(spark, d):
+    return rerank.signals(asked(spark, d), _candidates(spark, d)).select("qid", "id", "heading_overlap")
+
+
 @query
 def heuristic_rerank(spark, d):
     out = rerank.heuristic_rerank(asked(spark, d), _candidates(spark, d))
@@ -281,9 +302,9 @@ def heuristic_rerank(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    c = _candidates(spark, d).withColumn("text", F.substring("text", 1, rerank.MOST_CHARS))
-    p = stem_lists(c.select("id", "text").dropDuplicates(["id"]), "id", "text", "p")
-    return c.select("qid", "id", "rank").join(query_terms(asked(spark, d)).withColumnRenamed("terms", "q"), "qid").join(p, "id")
+    """Stems of each item and of the whole text of each of its hits."""
+    p = _candidates(spark, d).select("qid", "id", "rank", stem_list(text.content_tokens("text")).alias("p"))
+    return p.join(query_terms(asked(spark, d)).withColumnRenamed("terms", "q"), "qid")
 
 
 @query
@@ -293,20 +314,19 @@ def jaccard_pairs(spark, d):
 
 
 def _support(spark, d) -> DataFrame:
-    """Each benchmark item as one claim against the passages of its first four hits."""
-    near = _pairs(spark, d).filter("rank <= 4").withColumn("overlap", scores.containment(F.col("q"), F.col("p")))
-    best = near.groupBy("qid").agg(F.max(F.struct("overlap", (-F.col("rank")).alias("m"))).alias("b"))
-    return best.select("qid", F.when(F.col("b.overlap") > 0, -F.col("b.m")).cast("int").alias("best_marker"), F.bround("b.overlap", 6).alias("best_score"), (F.col("b.overlap") >= answer.SUPPORT).alias("supported"))
+    """Each benchmark item as a claim that cites its first hit, against the whole texts of all its hits."""
+    claims = asked(spark, d).select("qid", F.concat(F.translate("question", ".!?", "   "), F.lit(" [1]")).alias("answer"))
+    return answer.check_support(claims, _candidates(spark, d).select("qid", F.col("rank").alias("marker"), F.col("text").alias("body")))
 
 
 @query
 def support_check(spark, d):
-    return _support(spark, d)
+    return _support(spark, d).select("qid", "is_claim", "best_marker", "best_score", "cited_score", "supported", "misattributed")
 
 
 @query
 def groundedness(spark, d):
-    return _support(spark, d).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"), F.bround(F.avg(F.col("supported").cast("int")), 4).alias("groundedness"))
+    return answer.groundedness(_support(spark, d)).select("qid", "n_claims", "n_supported", "groundedness", "advises_refusal")
 
 
 def _packed(spark, d) -> DataFrame:
@@ -414,9 +434,8 @@ def document_titles(spark, d):
 
 @query
 def dense_levels(spark, d):
-    levels = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") * 4 + F.col("toxic") * 2).alias("level"))
-    known = levels.select("level").distinct().withColumn("dense_level", F.dense_rank().over(Window.orderBy("level")).cast("long"))
-    return levels.join(known, "level").select("document_id", "level", "dense_level")
+    levels = table(spark, d, "labels").join(docs(spark, d), "doc_id").select(F.col("source").alias("document_id"), "doc_id", (F.col("quality") * 4 + F.col("toxic") * 2).alias("level"))
+    return chunking.dense_levels(levels).select("document_id", "doc_id", "level", F.col("dense_level").cast("long").alias("dense_level"))
 
 
 # Structure ---------------------------------------------------------------------------------------------------------------
