@@ -6,6 +6,9 @@ dotted numbers; accented letters separate. All functions treat null as the empty
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ ABBREVIATIONS = (
 ).split()
 FURNITURE = r"(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*(?:/|of)\s*\d{1,4})?\s*$"
 WORD_MARKS = ".,;:!?()[]{}\"'"
+# Fixed value: where one sentence ends and the next begins.
+BOUNDARY = r"""(?<=[.!?])["')\]]*\s+(?=["'(\[]*[A-Z0-9])"""
 
 
 def _text(c: Column | str) -> Column:
@@ -67,6 +72,19 @@ def clean_text(c: Column | str, dehyphenate: bool = True, nfkc: bool = False) ->
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
+_FOLDED = str.maketrans({**FOLD_SINGLE, **FOLD_LONG, **dict.fromkeys(FOLD_REMOVED)})
+
+
+def clean(text: str, dehyphenate: bool = True) -> str:
+    """As :func:`clean_text` with NFKC, of one text where files are parsed."""
+    t = unicodedata.normalize("NFKC", text).translate(_FOLDED).replace("\r\n", "\n").replace("\r", "\n")
+    t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t)
+    if dehyphenate:
+        t = re.sub(r"(\w)-\n(\w)", r"\1\2", t)
+    t = re.sub(r"[ \t]+\n", "\n", re.sub(r"[ \t\f\r]+", " ", t))
+    return re.sub(r"\n{3,}", "\n\n", t).strip()
+
+
 def tokens(c: Column | str, lowercase: bool = True, nfkc: bool = False) -> Column:
     """All tokens in order; a text without any ASCII token falls back to runs of word characters."""
     t = fold_unicode(c, nfkc)
@@ -121,7 +139,7 @@ def truncate_to_tokens(c: Column | str, limit: Column | int) -> Column:
 def raw_sentences(c: Column | str) -> Column:
     """Pieces between sentence boundaries, trimmed, empty ones left out; closing quotes at a boundary are swallowed."""
     t = F.replace(_text(c), F.lit("\n"), F.lit(" "))
-    pieces = F.split(t, r"""(?<=[.!?])["')\]]*\s+(?=["'(\[]*[A-Z0-9])""")
+    pieces = F.split(t, BOUNDARY)
     return F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
@@ -192,9 +210,21 @@ def shorten(c: Column | str, limit: int = 160) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, limit), r"\s+$", ""), F.lit("...")))
 
 
+def _plain_letters() -> dict[str, str]:
+    """By rule: letters of the Latin blocks that decompose into ASCII and marks, with what is left of them."""
+    blocks = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]
+    found = {chr(i): unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode() for i in blocks}
+    return {c: to for c, to in found.items() if to}
+
+
 def slug(c: Column | str, limit: int = 60) -> Column:
-    """Lower-case ASCII letters and digits joined by hyphens; "section" if nothing is left."""
-    plain = F.regexp_replace(F.lower(_text(c)), "[^\\x00-\\x7f]", "")
+    """Lower-case ASCII letters and digits joined by hyphens, accents dropped from their letters; "section" if nothing is left."""
+    letters = _plain_letters()
+    one = {a: b for a, b in letters.items() if len(b) == 1}
+    t = F.translate(_text(c), "".join(one), "".join(one.values()))
+    for a, b in letters.items():
+        t = t if len(b) == 1 else F.replace(t, F.lit(a), F.lit(b))
+    plain = F.lower(F.regexp_replace(t, "[^\\x00-\\x7f]", ""))
     dashed = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     cut = F.regexp_replace(F.substring(dashed, 1, limit), "-+$", "")
     return F.when(cut == "", "section").otherwise(cut)

@@ -7,6 +7,7 @@ row's array; documents are independent.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,14 +15,14 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import ABBREVIATIONS, WORD_MARKS
+from quern.functions.text import ABBREVIATIONS, BOUNDARY, WORD_MARKS
 
 BLOCKS = "array<struct<kind:string,level:int,page:int,text:string>>"
 CHUNKS = (
     "array<struct<chunk_index:int,body:string,embed_text:string,token_count:int,page_start:int,page_end:int,section_key:string,section_path:array<string>,"
     "heading:string,block_orders:array<int>,kinds:array<string>,has_overlap:boolean>>"
 )
-SECTIONS = "array<struct<position:int,key:string,parent_key:string,title:string,level:int,path:array<string>,page:int,first_block:int,n_blocks:int,chars:int>>"
+SECTIONS = "array<struct<position:int,key:string,parent_key:string,title:string,level:int,path:array<string>,page:int,first_block:int,n_blocks:int,chars:int,synthetic:boolean>>"
 ATOMIC = ("table", "code", "caption")
 
 
@@ -52,7 +53,7 @@ def estimate(text: str) -> int:
     return max(1, total)
 
 
-_BOUNDARY = re.compile(r"""(?<=[.!?])["')\]]*\s+(?=["'(\[]*[A-Z0-9])""")
+_BOUNDARY = re.compile(BOUNDARY)
 _SHORT = frozenset(ABBREVIATIONS)
 
 
@@ -72,7 +73,8 @@ def sentences(text: str) -> list[str]:
 
 
 def _slug(title: str) -> str:
-    return re.sub("[^a-z0-9]+", "-", title.lower().encode("ascii", "ignore").decode()).strip("-")[:60].rstrip("-") or "section"
+    plain = unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()
+    return re.sub("[^a-z0-9]+", "-", plain).strip("-")[:60].rstrip("-") or "section"
 
 
 @dataclass
@@ -261,11 +263,11 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
 
 
 def section_rows(docs: DataFrame) -> DataFrame:
-    """(document_id, position, key, parent_key, title, level, path, page, first_block, n_blocks, chars) of each section."""
+    """(document_id, position, key, parent_key, title, level, path, page, first_block, n_blocks, chars, synthetic) of each section."""
 
     def make(blocks, title):
         return [
-            {"position": i, "key": s.key, "parent_key": s.parent, "title": s.title, "level": s.level, "path": list(s.path), "page": s.page, "first_block": min(s.members, default=0), "n_blocks": len(s.members), "chars": sum(len(blocks[m]["text"]) for m in s.members)}
+            {"position": i, "key": s.key, "parent_key": s.parent, "title": s.title, "level": s.level, "path": list(s.path), "page": s.page, "first_block": min(s.members, default=0), "n_blocks": len(s.members), "chars": sum(len(blocks[m]["text"]) for m in s.members), "synthetic": s.synthetic}
             for i, s in enumerate(outline(blocks, title))
         ]
 
@@ -278,6 +280,23 @@ def section_rollups(sections: DataFrame) -> DataFrame:
     return up.groupBy("document_id", "key").agg(F.sum("chars").alias("chars"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count(F.lit(1)).alias("n_sections"))
 
 
+def outline_stats(sections: DataFrame) -> DataFrame:
+    """(document_id, n_sections, max_depth, flat): sections that have a heading, their deepest level, and whether there is none."""
+    real = F.when(~F.col("synthetic"), F.col("level"))
+    return sections.groupBy("document_id").agg(F.count(real).alias("n_sections"), F.coalesce(F.max(real), F.lit(0)).alias("max_depth"), (F.count(real) == 0).alias("flat"))
+
+
+def document_stats(docs: DataFrame) -> DataFrame:
+    """(document_id, pages, empty_pages, n_blocks, n_headings, n_chars, n_words) of documents (document_id, blocks)."""
+    text, pages = lambda b: F.coalesce(b["text"], F.lit("")), F.coalesce(F.array_max(F.transform("blocks", lambda b: b["page"])), F.lit(0))
+    total = lambda f: F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + f(text(b)))
+    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return docs.select(
+        "document_id", pages.alias("pages"), (pages - F.size(F.array_distinct(F.transform("blocks", lambda b: b["page"])))).alias("empty_pages"), F.size("blocks").alias("n_blocks"),
+        F.size(F.filter("blocks", lambda b: b["kind"] == "heading")).alias("n_headings"), total(F.length).alias("n_chars"), total(words).alias("n_words"),
+    )
+
+
 def plain_blocks(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(document_id, title, blocks): each blank-line paragraph as a block of one page."""
     from quern.functions.text import paragraphs

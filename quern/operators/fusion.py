@@ -83,6 +83,13 @@ def contribution_of(name: str, field: str):
     return F.get(F.filter("contributions", lambda c: c["retriever"] == name), F.lit(0))[field]
 
 
+def matched_terms(lists: dict[str, DataFrame]) -> DataFrame:
+    """(qid, id, terms): the words by which the lists (qid, id, matched) found an id, each once, in the order of lists and words."""
+    parts = [df.select(F.lit(i).alias("at"), F.col("qid").cast("string").alias("qid"), F.col("id").cast("string").alias("id"), F.split("matched", " ").alias("words")) for i, df in enumerate(lists.values())]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("qid", "id").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w"))
+    return rows.select("qid", "id", F.array_distinct(F.flatten(F.transform("w", lambda x: x["words"]))).alias("terms"))
+
+
 def top_dense_score(fused: DataFrame) -> DataFrame:
     """(qid, top_score): the highest cosine among the fused hits; null if no hit came from the dense list."""
     return fused.groupBy("qid").agg(F.max(contribution_of("dense", "score")).alias("top_score"))

@@ -29,6 +29,17 @@ def filtered(rows: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame:
     return rows.filter(matches(filters))
 
 
+def scoped(rows: DataFrame, owner: Any = None, column: str = "user_id") -> DataFrame:
+    """Rows of one owner; None (a caller that may see all) keeps every row."""
+    return rows if owner is None else rows.filter(F.col(column).cast("string") == str(owner))
+
+
+def delete_before(rows: DataFrame, bounds: DataFrame, group: str = "conv_id", order: str = "turn") -> DataFrame:
+    """What is left without the rows of each group in ``bounds`` (group, before) that come before its bound."""
+    limits = bounds.select(F.col(group).alias("_g"), F.col("before").alias("_before"))
+    return rows.join(limits, (F.col(group) == F.col("_g")) & (F.col(order) < F.col("_before")), "left_anti")
+
+
 def delete_where(rows: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame:
     """What is left; without a filter it raises rather than delete all."""
     if not filters:
@@ -79,6 +90,12 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def chunk_page(chunks: DataFrame, document_id: Any, limit: int, offset: int = 0, preview: int = 500) -> DataFrame:
+    """A page of one document's chunks in order, with the opening of each as a preview."""
+    mine = chunks.filter(F.col("document_id").cast("string") == str(document_id))
+    return page(mine, [F.col("chunk_index")], limit, offset).withColumn("preview", F.substring("body", 1, preview))
+
+
 def titles(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with their document's title, or its id where the title is missing or empty."""
     named = documents.select(F.col("document_id").alias("_d"), "title")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quern.functions import stem, text
 from quern.operators.answer import DISCOURSE_STEMS
 from quern.operators.hashing import GRAM, GRAM_TOKEN, MOST_GRAM_TOKENS
+from quern.operators.prompts import INSTRUCTIONS
 
 
 def _lit(x: str) -> str:
@@ -232,7 +233,7 @@ SQL: dict[str, str] = {
     "doc_text_stats": f"SELECT doc_id, length(text) AS n_chars, len({words('text')}) AS n_words, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '\\s', '', 'g') <> '')) AS n_paragraphs FROM documents",
     "source_rollup": "SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(length(text)) AS least, max(length(text)) AS most, round_even(avg(length(text)), 4) AS mean FROM documents GROUP BY source",
     "snippets": f"SELECT doc_id, CASE WHEN length(f) <= 240 THEN f ELSE regexp_replace(CASE WHEN contains(h, ' ') AND 240 - instr(reverse(h), ' ') > 120 THEN left(h, 240 - instr(reverse(h), ' ')) ELSE h END, '[ ,;:.]+$', '') || '...' END AS snippet FROM (SELECT doc_id, array_to_string({words('text')}, ' ') AS f, left(array_to_string({words('text')}, ' '), 240) AS h FROM documents)",
-    "slugs": "SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), '-+$', '') AS s FROM documents)",
+    "slugs": "SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), '-+$', '') AS s FROM documents)",
     "legibility": "SELECT doc_id, round_even(CASE WHEN text = '' THEN 0 ELSE length(regexp_replace(left(text, 8000), '[^\\pL\\pN\\s\\x{85}\\x{a0}.,;:!?''\"()%/\\-]', '', 'g')) / length(left(text, 8000)) END, 6) AS share FROM documents",
     "page_furniture": f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, {_lit(text.FURNITURE)}))) AS n_kept FROM documents",
     "sentence_stats": f"SELECT doc_id, len({raw_sentences('text')}) AS n_sentences, md5(array_to_string({raw_sentences('text')}, chr(10))) AS digest FROM documents",
@@ -288,4 +289,12 @@ SQL: dict[str, str] = {
     "min_max_scores": f"{_LISTS}, m AS (SELECT qid, id, score, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM a) SELECT qid, id, round_even(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS normalised FROM m",
     "dense_levels": "SELECT source AS document_id, doc_id, quality * 4 + toxic * 2 AS level, dense_rank() OVER (PARTITION BY source ORDER BY quality * 4 + toxic * 2) AS dense_level FROM labels JOIN documents USING (doc_id)",
     "json_payload": "SELECT doc_id, source, lang FROM documents",
+    "tenant_scope": "SELECT doc_id, source FROM documents WHERE source = 'src1'",
+    "delete_before": "SELECT conv_id, turn, role FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE conv_id % 2 <> 0 OR turn >= last - 1",
+    "vector_records": """SELECT doc_id || ':0' AS id, '{"document_id":"' || doc_id || '","chunk_index":"0","heading":"' || source || '","token_count":"' || n_chars || '","user_id":"7"}' AS payload, len(embedding) AS width FROM documents JOIN embeddings ON vec_id = doc_id""",
+    "sync_records": "SELECT vec_id || ':0' AS id, 'kept' AS state FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id || ':0', 'missing' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+    "matched_terms": f"WITH {_STEMMED}, {_scored('a')}, qw AS (SELECT qid, stem AS term, min(token) AS word FROM qt JOIN vocab USING (token) GROUP BY ALL) SELECT a.qid, a.id, string_agg(DISTINCT word, ' ' ORDER BY word) AS terms FROM a JOIN qw ON qw.qid = a.qid JOIN post ON post.term = qw.term AND post.id = a.id GROUP BY ALL",
+    "prompt_messages": f"WITH h AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant')), p AS (SELECT conv_id, count(*) AS n, string_agg(CASE WHEN text <> '' THEN text || chr(10) || chr(10) ELSE '' END, '' ORDER BY turn) AS past FROM h WHERE back <= 6 GROUP BY conv_id) "
+    f"SELECT CAST(item_id AS VARCHAR) AS qid, 2 + coalesce(n, 0) AS n_messages, md5({_lit(INSTRUCTIONS)} || chr(10) || chr(10) || coalesce(past, '') || 'Passages:' || chr(10) || chr(10) || trim(text) || chr(10) || chr(10) || 'Question: ' || trim(text)) AS digest FROM benchmark LEFT JOIN p ON conv_id = item_id",
+    "document_stats": f"WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents) SELECT CAST(doc_id AS VARCHAR) AS document_id, len(p) AS n_blocks, 0 AS n_headings, CAST(coalesce(list_sum(list_transform(p, lambda x: length(x))), 0) AS BIGINT) AS n_chars, CAST(coalesce(list_sum(list_transform(p, lambda x: len({words('x')}))), 0) AS BIGINT) AS n_words FROM p",
 }

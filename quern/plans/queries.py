@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores, text
 from quern.functions.stem import stem_list, stem_vocabulary
-from quern.operators import answer, chunking, citations, context, dense, fusion, hashing, keyword, rerank, tables
+from quern.operators import answer, chunking, citations, context, dense, fusion, hashing, keyword, prompts, records, rerank, tables
 from quern.operators.terms import query_terms
 from quern.session import materialise, spread
 from quern.sources import files
@@ -438,6 +438,50 @@ def dense_levels(spark, d):
     return chunking.dense_levels(levels).select("document_id", "doc_id", "level", F.col("dense_level").cast("long").alias("dense_level"))
 
 
+@query
+def tenant_scope(spark, d):
+    return tables.scoped(docs(spark, d), "src1", "source").select("doc_id", "source")
+
+
+@query
+def delete_before(spark, d):
+    messages = table(spark, d, "conversations")
+    bounds = messages.filter("conv_id % 2 = 0").groupBy("conv_id").agg((F.max("turn") - 1).alias("before"))
+    return tables.delete_before(messages, bounds).select("conv_id", "turn", "role")
+
+
+def _chunk_rows(spark, d) -> DataFrame:
+    return docs(spark, d).select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("source").alias("heading"), F.col("n_chars").alias("token_count"))
+
+
+@query
+def vector_records(spark, d):
+    v = _vectors(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    held = _chunk_rows(spark, d).join(v.select(F.col("vec_id").alias("document_id")), "document_id", "left_semi")
+    made = records.records_from_chunks(held, v.select(F.concat("id", F.lit(":0")).alias("id"), "v"), user_id=7)
+    return made.select("id", F.to_json("payload").alias("payload"), F.size("v").cast("long").alias("width"))
+
+
+@query
+def sync_records(spark, d):
+    made = _vectors(spark, d).select(F.concat("id", F.lit(":0")).alias("id"), "v", F.create_map(F.lit("document_id"), F.col("id")).alias("payload"))
+    kept, missing = records.sync_records(made, _chunk_rows(spark, d), _chunk_rows(spark, d))
+    return kept.select("id", F.lit("kept").alias("state")).unionByName(missing.select(F.concat(F.col("document_id").cast("string"), F.lit(":0")).alias("id"), F.lit("missing").alias("state")))
+
+
+@query
+def matched_terms(spark, d):
+    found = keyword.search(_index(spark, d), asked(spark, d), 10, matched=True)
+    return fusion.matched_terms({"keyword": found}).select("qid", "id", F.array_join(F.array_sort("terms"), " ").alias("terms"))
+
+
+@query
+def prompt_messages(spark, d):
+    questions = asked(spark, d).withColumn("conv_id", F.col("qid").cast("long"))
+    made = prompts.build_messages(questions, questions.select("qid", F.col("question").alias("context")), table(spark, d, "conversations"))
+    return made.select("qid", F.size("messages").cast("long").alias("n_messages"), F.md5(prompts.flatten_messages(F.col("messages"))).alias("digest"))
+
+
 # Structure ---------------------------------------------------------------------------------------------------------------
 
 
@@ -447,6 +491,11 @@ def chunk_documents(spark, d):
     return made.select("document_id", "id", "chunk_index", "token_count", "has_overlap", F.md5("body").alias("digest"))
 
 
+@query
+def document_stats(spark, d):
+    return chunking.document_stats(chunking.plain_blocks(docs(spark, d), "doc_id", "text")).select("document_id", "n_blocks", "n_headings", "n_chars", "n_words")
+
+
 @query
 def chunk_stats(spark, d):
     return chunking.chunk_stats(chunking.chunk_documents(chunking.plain_blocks(docs(spark, d), "doc_id", "text")))

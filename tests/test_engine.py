@@ -67,7 +67,7 @@ def test_markdown_blocks_outline_and_chunks(spark):
     p = files.parse_text(MARKDOWN.encode(), True)
     assert p["title"] == "Drying notes" and p["meta"]["author"] == "A. Writer"
     assert [b["kind"] for b in p["blocks"]] == ["paragraph", "heading", "heading", "paragraph", "list_item", "list_item", "table", "quote", "code", "heading", "caption", "paragraph"]
-    assert p["blocks"][6]["text"] == "| time | value |\n| 1 | 2 |" and p["blocks"][4]["text"] == "first item goes on" and p["blocks"][8]["text"] == "code   kept"
+    assert p["blocks"][6]["text"] == "| time | value |\n| 1 | 2 |" and p["blocks"][4]["text"] == "- first item goes on" and p["blocks"][8]["text"] == "code   kept"
     keys = [(s.key, s.level) for s in chunking.outline(p["blocks"], p["title"])]
     assert keys == [("drying-notes", 1), ("method", 1), ("method/sample-preparation", 2), ("method/results", 2)]
     made = chunking.chunks_of(p["blocks"], p["title"], chunking.ChunkConfig(target=55, overlap=18, minimum=12, maximum=110))
