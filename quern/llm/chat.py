@@ -105,27 +105,55 @@ def parse_messages(messages: DataFrame, schemas: dict[str, dict[str, Any]] | Non
     return rows.withColumn("calls", calls).withColumn("content", content).select("conv_id", "turn", "role", "content", "key", "calls", F.col("_result.tool_call_id").alias("call_id"))
 
 
+def _chain_ends(singles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ends, stuck) of calls (conv_id, id, to, dist) that wait for one other: (conv_id, id, to, dist) with the first call on the way that waits
+    for none or several, and (conv_id, id) of those whose way runs into a cycle.
+
+    Each round doubles how far a call sees, so rounds grow with the logarithm of a chain.
+    """
+    known, left = materialise(singles, "call-chains"), -1
+    while True:
+        beyond = known.select("conv_id", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+        seen = materialise(known.join(beyond, ["conv_id", "to"], "left").select("conv_id", "id", "to", "dist", "_to", "_dist"), "call-chains")
+        open_ = seen.filter("_to is not null").count()
+        if open_ in (0, left):  # what does not get fewer runs in circles
+            return seen.filter("_to is null").select("conv_id", "id", "to", "dist"), seen.filter("_to is not null").select("conv_id", "id")
+        known, left = seen.select("conv_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")), open_
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level): 0 for calls that wait for no other, else one more than the calls they wait for.
 
     ``calls`` is (conv_id, id, depends_on), one row for each id. Names of calls that do not exist are ignored; calls on a cycle, and those that
-    wait for one, have a null level. One round for each level, over calls that still wait.
+    wait for one, have a null level. Chains of calls that wait for one other each are followed by doubling; calls that wait for several take
+    one round for each level among themselves.
     """
     ids = calls.select("conv_id", F.col("id").alias("wanted"))
     edges = calls.select("conv_id", "id", F.explode(F.array_distinct("depends_on")).alias("wanted")).join(ids, ["conv_id", "wanted"], "left_semi")
     edges = materialise(edges, "call-edges")
-    waiting = edges.select("conv_id", "id").distinct()
-    known = calls.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"))
-    while not edges.isEmpty():
-        met = edges.join(known.select("conv_id", F.col("id").alias("wanted"), "level"), ["conv_id", "wanted"], "left")
-        ready = met.groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
-        ready = materialise(ready.select("conv_id", "id", (F.col("level") + 1).alias("level")), "call-level")
+    waits = materialise(edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("wanted").alias("only")), "call-waits")
+    zero = F.lit(0)
+    free = calls.select("conv_id", "id").join(waits.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", zero)
+    if waits.isEmpty():
+        return free
+    ends, stuck = _chain_ends(waits.filter("n = 1").select("conv_id", "id", F.col("only").alias("to"), F.lit(1).alias("dist")))
+    none = F.lit(None).cast("int")
+    # Every call by the end of its way: itself, or where its chain begins; a stuck one has no end.
+    itself = free.select("conv_id", "id").unionByName(waits.filter("n > 1").select("conv_id", "id")).select("conv_id", "id", F.col("id").alias("to"), zero.alias("dist"))
+    placed = materialise(itself.unionByName(ends).unionByName(stuck.select("conv_id", "id", F.lit(None).cast("string").alias("to"), none.alias("dist"))), "call-ends")
+    known = free
+    several = edges.join(waits.filter("n > 1").select("conv_id", "id"), ["conv_id", "id"], "left_semi")
+    several = materialise(several.join(placed.select("conv_id", F.col("id").alias("wanted"), "to", "dist"), ["conv_id", "wanted"]).select("conv_id", "id", "to", "dist"), "call-several")
+    while not several.isEmpty():
+        met = several.join(known.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"], "left")
+        ready = met.groupBy("conv_id", "id").agg((F.max(F.col("level") + F.col("dist")) + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
+        ready = materialise(ready.select("conv_id", "id", "level"), "call-level")
         if ready.isEmpty():
-            stuck = edges.select("conv_id", "id").distinct().withColumn("level", F.lit(None).cast("int"))
-            return known.unionByName(stuck)
+            break
         known = materialise(known.unionByName(ready), "call-levels")
-        edges = materialise(edges.join(ready.select("conv_id", "id"), ["conv_id", "id"], "left_anti"), "call-edges")
-    return known
+        several = materialise(several.join(ready.select("conv_id", "id"), ["conv_id", "id"], "left_anti"), "call-several")
+    levels = placed.join(known.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"], "left")
+    return levels.select("conv_id", "id", (F.col("level") + F.col("dist")).alias("level"))
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict[str, Any]] | None = None) -> DataFrame:

@@ -177,9 +177,9 @@ WITH RECURSIVE m AS (
 ), paths AS (
   SELECT conv_id, id, 0 AS steps FROM owned
   UNION
-  SELECT e.conv_id, e.id, p.steps + 1 FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.wanted = p.id WHERE p.steps < 40
+  SELECT e.conv_id, e.id, p.steps + 1 FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.wanted = p.id WHERE p.steps < 1000
 ), levels AS (
-  SELECT conv_id, id, CASE WHEN max(steps) < 40 THEN max(steps) END AS level FROM paths GROUP BY ALL
+  SELECT conv_id, id, CASE WHEN max(steps) < 1000 THEN max(steps) END AS level FROM paths GROUP BY ALL
 ), results AS (
   SELECT conv_id, turn, CASE n % 6 WHEN 0 THEN 'c' || (turn - 1) WHEN 1 THEN 'd' || (turn - 1) WHEN 2 THEN 'c' || (turn + 1) WHEN 3 THEN 'zz' WHEN 4 THEN 'c1' END AS call_id
   FROM m WHERE tool

@@ -62,6 +62,28 @@ def test_levels_follow_chains_and_mark_cycles(spark):
     assert got == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): None, (1, "e"): None, (1, "f"): None, (2, "a"): 0, (2, "b"): 0}
 
 
+def test_levels_equal_those_of_a_walk(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for conv in range(12):
+        n = 40
+        names = [f"k{i}" for i in range(n)]
+        for i, name in enumerate(names):
+            kind = rng.random()
+            waits = [] if kind < 0.1 else [names[i - 1]] if kind < 0.75 and i else rng.sample(names[:i], min(i, 3))
+            rows.append((conv, name, waits + (["nowhere"] if kind > 0.9 else []) + ([names[rng.randrange(n)]] if conv > 8 and kind > 0.95 else [])))
+    rows += [(99, f"c{i}", [f"c{i - 1}"]) for i in range(100)]
+    graph = {(c, i): [(c, w) for w in ws if (c, w) in {(a, b) for a, b, _ in rows}] for c, i, ws in rows}
+    want, left = {}, dict(graph)
+    while ready := [k for k, ws in left.items() if all(w in want for w in ws)]:
+        for k in ready:
+            want[k] = max((want[w] + 1 for w in left.pop(k)), default=0)
+    got = {(r.conv_id, r.id): r.level for r in call_levels(spark.createDataFrame(rows, "conv_id long, id string, depends_on array<string>")).collect()}
+    assert got == {k: want.get(k) for k in graph} and got[99, "c99"] == 99
+
+
 def test_values_are_checked_at_any_depth(spark):
     from pyspark.sql import functions as F
 
