@@ -136,7 +136,7 @@ def _pack(columns: list[np.ndarray], payload: bytes) -> bytes:
 
     head = np.array([len(columns), *map(len, columns)], dtype="<i8").tobytes() + b"".join(_planes(c, i in _IDS) for i, c in enumerate(columns))
     raw = head + payload
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 5).compress(raw, asbytes=True)
 
 
 #: Columns of a blob that hold ids: of strings and of runs.
