@@ -69,3 +69,17 @@ def test_features_of_a_large_batch_are_made_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(hashing, "TOKENS_AT_ONCE", 5000, raising=False)
     df = spark.createDataFrame([*enumerate(texts_of(1500, [200]))], "id int, text string")
     assert peak_of(monkeypatch, lambda df: hashing.hash_features(df, "id", "text"), df) < 80
+
+
+def test_vectors_equal_the_plain_form(spark):
+    rows = [*enumerate(texts_of(600, [0, 1, 2, 30, 200, 700])), (900, None), (901, ""), (902, "naïve über")]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    tokens = {r.id: r.t for r in df.select("id", text.tokens("text").alias("t")).collect()}
+    got = {r.id: r.vector for r in hashing.hash_embed(df, "id", "text", 64).collect()}
+    assert got == {i: plain_vector(plain_features(t), 64) for i, t in tokens.items()}
+
+
+def test_vectors_of_a_large_batch_are_made_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "CELLS_AT_ONCE", 1 << 16, raising=False)
+    df = spark.createDataFrame([*enumerate(texts_of(5000, [3]))], "id int, text string")
+    assert peak_of(monkeypatch, lambda df: hashing.hash_embed(df, "id", "text"), df) < 20
