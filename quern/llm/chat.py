@@ -7,6 +7,7 @@ text one with ``tool_call_id``. Calls and results meet in a hash join by convers
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from quern.session import materialise
 
 CALL = "content string, tool_calls array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>"
 RESULT = "tool_call_id string, content string"
+#: Tables of levels that are read side by side at most; so many are written as one.
+UNITED = 32
 #: The JSON type names of Spark's variant types.
 _TYPES = {"BIGINT": "integer", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "number", "FLOAT": "number"}
 
@@ -121,6 +124,27 @@ def _chain_ends(singles: DataFrame) -> tuple[DataFrame, DataFrame]:
         known, left = seen.select("conv_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")), open_
 
 
+def _several_levels(waits: DataFrame, free: DataFrame) -> DataFrame:
+    """``free`` (conv_id, id, level) and, with their levels, the calls that wait for several: ``waits`` is (conv_id, id, to, dist), one row
+    for each way to a call of ``free``, to another of these, or to none (null). Calls on or behind a cycle are left out.
+
+    A round for each level among themselves, and one write a round.
+    """
+    levels, ready = [free], free
+    while True:
+        met = waits.join(ready.select("conv_id", F.col("id").alias("to"), F.col("level").alias("_level")), ["conv_id", "to"], "left")
+        way = F.struct("to", "dist", (F.coalesce("level", "_level") if "level" in waits.columns else F.col("_level")).alias("level"))
+        calls = materialise(met.groupBy("conv_id", "id").agg(F.collect_list(way).alias("ways")), "call-several")  # no longer than its depends_on
+        done = F.forall("ways", lambda w: w["level"].isNotNull())
+        ready = calls.filter(done).select("conv_id", "id", (F.array_max(F.transform("ways", lambda w: w["level"] + w["dist"])) + 1).alias("level"))
+        levels.append(ready)
+        if len(levels) == UNITED:
+            levels = [materialise(reduce(DataFrame.unionByName, levels), "call-levels")]
+        waits = calls.filter(~done).select("conv_id", "id", F.inline("ways"))
+        if waits.filter("level is null").join(ready.select("conv_id", F.col("id").alias("to")), ["conv_id", "to"], "left_semi").isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level): 0 for calls that wait for no other, else one more than the calls they wait for.
 
@@ -128,30 +152,21 @@ def call_levels(calls: DataFrame) -> DataFrame:
     wait for one, have a null level. Chains of calls that wait for one other each are followed by doubling; calls that wait for several take
     one round for each level among themselves.
     """
-    ids = calls.select("conv_id", F.col("id").alias("wanted"))
-    edges = calls.select("conv_id", "id", F.explode(F.array_distinct("depends_on")).alias("wanted")).join(ids, ["conv_id", "wanted"], "left_semi")
-    edges = materialise(edges, "call-edges")
-    waits = materialise(edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("wanted").alias("only")), "call-waits")
-    zero = F.lit(0)
-    free = calls.select("conv_id", "id").join(waits.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", zero)
-    if waits.isEmpty():
+    ids = calls.select("conv_id", F.col("id").alias("wanted"), F.col("id").alias("found"))
+    edges = calls.select("conv_id", "id", F.explode_outer(F.array_distinct("depends_on")).alias("wanted")).join(ids, ["conv_id", "wanted"], "left")
+    graph = materialise(edges.groupBy("conv_id", "id").agg(F.collect_list("found").alias("wanted")), "call-graph")  # no longer than a depends_on
+    n, zero, none = F.size("wanted"), F.lit(0), F.lit(None).cast("int")
+    free = graph.filter(n == 0).select("conv_id", "id", zero.alias("level"))
+    if graph.filter(n > 0).isEmpty():
         return free
-    ends, stuck = _chain_ends(waits.filter("n = 1").select("conv_id", "id", F.col("only").alias("to"), F.lit(1).alias("dist")))
-    none = F.lit(None).cast("int")
+    ends, stuck = _chain_ends(graph.filter(n == 1).select("conv_id", "id", F.col("wanted")[0].alias("to"), F.lit(1).alias("dist")))
     # Every call by the end of its way: itself, or where its chain begins; a stuck one has no end.
-    itself = free.select("conv_id", "id").unionByName(waits.filter("n > 1").select("conv_id", "id")).select("conv_id", "id", F.col("id").alias("to"), zero.alias("dist"))
-    placed = materialise(itself.unionByName(ends).unionByName(stuck.select("conv_id", "id", F.lit(None).cast("string").alias("to"), none.alias("dist"))), "call-ends")
-    known = free
-    several = edges.join(waits.filter("n > 1").select("conv_id", "id"), ["conv_id", "id"], "left_semi")
-    several = materialise(several.join(placed.select("conv_id", F.col("id").alias("wanted"), "to", "dist"), ["conv_id", "wanted"]).select("conv_id", "id", "to", "dist"), "call-several")
-    while not several.isEmpty():
-        met = several.join(known.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"], "left")
-        ready = met.groupBy("conv_id", "id").agg((F.max(F.col("level") + F.col("dist")) + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
-        ready = materialise(ready.select("conv_id", "id", "level"), "call-level")
-        if ready.isEmpty():
-            break
-        known = materialise(known.unionByName(ready), "call-levels")
-        several = materialise(several.join(ready.select("conv_id", "id"), ["conv_id", "id"], "left_anti"), "call-several")
+    itself = graph.filter(n != 1).select("conv_id", "id", F.col("id").alias("to"), zero.alias("dist"))
+    placed = itself.unionByName(ends).unionByName(stuck.select("conv_id", "id", F.lit(None).cast("string").alias("to"), none.alias("dist")))
+    known, several = free, graph.filter(n > 1)
+    if not several.isEmpty():
+        waits = several.select("conv_id", "id", F.explode("wanted").alias("wanted")).join(placed.withColumnRenamed("id", "wanted"), ["conv_id", "wanted"])
+        known = _several_levels(waits.select("conv_id", "id", "to", "dist"), free)
     levels = placed.join(known.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"], "left")
     return levels.select("conv_id", "id", (F.col("level") + F.col("dist")).alias("level"))
 
@@ -173,26 +188,27 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict[str, Any]] | None =
     first = exploded.filter("c.id is not null").groupBy("conv_id", F.col("c.id").alias("id")).agg(F.min(F.struct("turn", "key", "place", F.col("c.depends_on").alias("depends_on"))).alias("f"))
     calls = materialise(first.select("conv_id", "id", "f.turn", "f.key", "f.place", "f.depends_on"), "calls")
     levels = call_levels(calls.select("conv_id", "id", "depends_on"))
-    owners = materialise(calls.join(levels, ["conv_id", "id"]).select("conv_id", F.col("id").alias("call_id"), F.col("turn").alias("call_turn"), F.col("key").alias("call_key"), F.col("place").alias("call_place"), F.col("level").alias("call_level")), "call-owners")
+    owners = calls.select("conv_id", F.col("id").alias("call_id"), F.col("turn").alias("call_turn"), F.col("key").alias("call_key"), F.col("place").alias("call_place"))
     results = parsed.filter("call_id is not null and conv_id is not null").select("conv_id", "call_id", "turn", "key")
     answered = results.join(owners.hint("shuffle_hash"), ["conv_id", "call_id"]).filter("turn >= call_turn").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "key")).alias("answer"))
+    owners = owners.join(levels.select("conv_id", F.col("id").alias("call_id"), F.col("level").alias("call_level")), ["conv_id", "call_id"])
     owners = materialise(owners.join(answered, ["conv_id", "call_id"], "left"), "answers")
-    tally = owners.groupBy(F.col("call_key").alias("k")).agg(F.count("answer").alias("n_answered"), F.count_if(F.col("call_level").isNull()).alias("n_cycles"))
-    # Only messages with calls or identifiers meet the linked tables; the others pass by.
-    plain = parsed.filter("size(calls) = 0 and call_id is null")
-    callers = parsed.filter("size(calls) > 0").join(tally, F.col("key") == F.col("k"), "left")
-    answers = parsed.filter("size(calls) = 0 and call_id is not null").join(owners, ["conv_id", "call_id"], "left")
-    status = F.when(F.col("call_turn").isNull(), "orphan").when(F.col("turn") < F.col("call_turn"), "early").when(F.col("answer.key") == F.col("key"), "linked").otherwise("duplicate")
-    errors = F.aggregate("calls", F.lit(0).cast("long"), lambda n, c: n + F.size(c["errors"]))
-    zero = F.lit(0).cast("long")
-    place = lambda anchor, slot, level, at: [anchor.alias("anchor"), F.lit(slot).alias("slot"), level.cast("int").alias("level"), at.cast("int").alias("place")]
-    rows = plain.select("*", *place(F.col("turn"), 0, F.lit(0), F.lit(0)), zero.alias("n_answered"), zero.alias("n_cycles"), F.when(F.col("role") == "tool", "unmarked").alias("status"))
-    rows = rows.unionByName(callers.select(*parsed.columns, *place(F.col("turn"), 0, F.lit(0), F.lit(0)), F.coalesce("n_answered", zero).alias("n_answered"), F.coalesce("n_cycles", zero).alias("n_cycles"), F.lit(None).cast("string").alias("status")))
-    linked = status.isin("linked", "duplicate")
-    rows = rows.unionByName(
-        answers.select(*parsed.columns, F.when(linked, F.col("call_turn")).otherwise(F.col("turn")).alias("anchor"), F.when(linked, 1).otherwise(0).alias("slot"),
-                       F.when(linked, F.coalesce("call_level", F.lit(1 << 30))).otherwise(0).alias("level"), F.when(linked, F.col("call_place")).otherwise(0).alias("place"), zero.alias("n_answered"), zero.alias("n_cycles"), status.alias("status"))
+    # Only messages with calls or identifiers meet the linked tables, in one join: callers what is known of their calls, results the call; the others pass by.
+    caller, zero = F.size("calls") > 0, F.lit(0).cast("long")
+    tally = owners.groupBy("conv_id", F.col("call_key").cast("string").alias("link")).agg(F.count("answer").alias("n_answered"), F.count_if(F.col("call_level").isNull()).alias("n_cycles"))
+    facts = owners.withColumnRenamed("call_id", "link").drop("call_key").withColumn("caller", F.lit(False)).unionByName(tally.withColumn("caller", F.lit(True)), allowMissingColumns=True)
+    met = parsed.filter(caller | F.col("call_id").isNotNull()).withColumn("caller", caller).withColumn("link", F.when(caller, F.col("key").cast("string")).otherwise(F.col("call_id")))
+    met = met.join(facts, ["conv_id", "caller", "link"], "left")
+    status = F.when(F.col("caller"), F.lit(None)).when(F.col("call_turn").isNull(), "orphan").when(F.col("turn") < F.col("call_turn"), "early").when(F.col("answer.key") == F.col("key"), "linked").otherwise("duplicate")
+    linked = F.col("status").isin("linked", "duplicate")
+    met = met.withColumn("status", status).select(
+        *parsed.columns, F.when(linked, F.col("call_turn")).otherwise(F.col("turn")).alias("anchor"), F.when(linked, 1).otherwise(0).alias("slot"), F.when(linked, F.coalesce("call_level", F.lit(1 << 30))).otherwise(0).alias("level"),
+        F.when(linked, F.col("call_place")).otherwise(0).alias("place"), F.coalesce("n_answered", zero).alias("n_answered"), F.coalesce("n_cycles", zero).alias("n_cycles"), "status",
     )
+    none, plain = F.lit(0), parsed.filter(~caller & F.col("call_id").isNull())
+    plain = plain.select(*parsed.columns, F.col("turn").alias("anchor"), none.alias("slot"), none.alias("level"), none.alias("place"), zero.alias("n_answered"), zero.alias("n_cycles"), F.when(F.col("role") == "tool", "unmarked").alias("status"))
+    rows = plain.unionByName(met)
+    errors = F.aggregate("calls", zero, lambda n, c: n + F.size(c["errors"]))
     told = F.transform("calls", lambda c: F.struct(c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
     message = F.to_json(F.struct("content", "role", F.col("call_id").alias("tool_call_id"), F.when(F.size("calls") > 0, told).alias("tool_calls")))
     return rows.select("conv_id", "turn", "role", "anchor", "slot", "level", "place", F.size("calls").cast("long").alias("n_calls"), "n_answered", (errors + F.col("n_cycles")).alias("n_errors"), "status", message.alias("message"))

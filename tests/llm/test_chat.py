@@ -84,6 +84,28 @@ def test_levels_equal_those_of_a_walk(spark):
     assert got == {k: want.get(k) for k in graph} and got[99, "c99"] == 99
 
 
+def test_a_level_takes_one_write(spark, monkeypatch):
+    from quern.llm import chat
+
+    written, real = [], chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda df, label: written.append(label) or real(df, label))
+    monkeypatch.setattr(chat, "UNITED", 4, raising=False)
+    # Each waits for the two before it; x and y wait for each other, z for y and an answered one.
+    rows = [(1, f"k{i}", [f"k{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(8)] + [(1, "x", ["y", "k0"]), (1, "y", ["x", "k1"]), (1, "z", ["y", "k2"])]
+    got = {r.id: r.level for r in call_levels(spark.createDataFrame(rows, "conv_id long, id string, depends_on array<string>")).collect()}
+    assert got == {f"k{i}": i for i in range(8)} | {"x": None, "y": None, "z": None}
+    assert sum(x == "call-several" for x in written) == 6 and len(written) <= 6 + 2 + 4  # six levels, folded twice; the graph and the chains
+
+
+def test_messages_are_linked_in_few_writes(spark, monkeypatch):
+    from quern.llm import chat
+
+    written, real = [], chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda df, label: written.append(label) or real(df, label))
+    got = format_chat(spark.createDataFrame(ROWS, SCHEMA), SCHEMAS).collect()
+    assert len(got) == len(ROWS) and len([x for x in written if x != "call-chains"]) == 4  # messages, calls, graph, answers
+
+
 def test_values_are_checked_at_any_depth(spark):
     from pyspark.sql import functions as F
 
