@@ -83,3 +83,23 @@ def test_vectors_of_a_large_batch_are_made_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(hashing, "CELLS_AT_ONCE", 1 << 16, raising=False)
     df = spark.createDataFrame([*enumerate(texts_of(5000, [3]))], "id int, text string")
     assert peak_of(monkeypatch, lambda df: hashing.hash_embed(df, "id", "text"), df) < 20
+
+
+LONG = [(1, " ".join(f"{a}{b}{c}words" for a in "abcdefgh" for b in "klmnopqr" for c in "stuvwxyz") + " ending" * 3), (2, "few words stay"), (3, None)]
+
+
+def whole_features(tokens):
+    """The plain form with the runs of all long words."""
+    runs = Counter("c:" + f"^{t}$"[i : i + 4] for t in tokens if len(t) >= 5 and t not in text.STOP_WORDS for i in range(len(t) - 1))
+    return Counter({f: n for f, n in plain_features(tokens).items() if f[0] != "c"}) + runs
+
+
+def test_hash_embed_takes_the_whole_text(spark, tmp_path):
+    from quern.plans.queries import QUERIES
+
+    spark.createDataFrame(LONG, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: np.count_nonzero(plain_vector(whole_features((t or "").split()), hashing.DIM)) for i, t in LONG}
+    assert {r.doc_id: r.n_cells for r in QUERIES["hash_embed"](spark, str(tmp_path)).collect()} == want
+    df = spark.createDataFrame(LONG, "id long, text string")
+    got = {r.id: np.array(r.vector) for r in hashing.hash_embed(df, "id", "text", 64, most_gram_tokens=None).collect()}
+    assert all(np.allclose(got[i], plain_vector(whole_features((t or "").split()), 64), atol=1e-6) for i, t in LONG)
