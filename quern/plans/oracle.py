@@ -222,6 +222,8 @@ _FEATURES = (
     f"l AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM x WHERE length(token) >= {GRAM_TOKEN} AND NOT list_contains({STOPS}, token)), c AS (SELECT doc_id, 'c' AS family, unnest(list_transform(range(1, length(token) + 3 - {GRAM} + 1), lambda i: substr('^' || token || '$', i, {GRAM}))) AS f FROM l WHERE n <= {MOST_GRAM_TOKENS}), "
     "fc AS (SELECT doc_id, family, f, count(*) AS n FROM (SELECT * FROM w UNION ALL SELECT * FROM b WHERE f IS NOT NULL UNION ALL SELECT * FROM c) GROUP BY ALL)"
 )
+# hash_features takes the runs of all long words.
+_WHOLE_FEATURES = _FEATURES.replace(f" WHERE n <= {MOST_GRAM_TOKENS}", "")
 
 SQL: dict[str, str] = {
     "token_stats": f"SELECT doc_id, len({tok('text')}) AS n_tokens, len(list_distinct({tok('text')})) AS n_distinct FROM documents",
@@ -275,7 +277,7 @@ SQL: dict[str, str] = {
     "documents_page": "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 20",
     "marker_counts": f"SELECT doc_id, CAST(m AS INTEGER) AS marker, count(*) AS n FROM (SELECT doc_id, unnest(flatten(list_transform({_MARKERS}, lambda g: regexp_extract_all(g, '\\d+')))) AS m FROM documents) GROUP BY ALL",
     "strip_markers": "SELECT doc_id, md5(" + _tidy(f"regexp_replace({_MARKED}, '\\[\\s*(\\d{{1,3}}(?:\\s*[,;]\\s*\\d{{1,3}})*)\\s*\\]', '', 'g')") + ") AS digest FROM documents",
-    "hash_features": f"{_FEATURES} SELECT doc_id, family, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n FROM fc GROUP BY ALL",
+    "hash_features": f"{_WHOLE_FEATURES} SELECT doc_id, family, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n FROM fc GROUP BY ALL",
     "explain_vector": _FEATURES.replace("doc_id", "qid").replace("FROM documents)", f"FROM (SELECT qid, question AS text FROM ({Q})))")
     + " SELECT qid, family || ':' || f AS feature, round_even(w, 6) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY w DESC, family || ':' || f) AS INTEGER) AS place FROM (SELECT *, CASE family WHEN 'w' THEN 1.0 WHEN 's' THEN 0.25 WHEN 'b' THEN 0.6 ELSE 0.35 END * (1 + ln(n)) AS w FROM fc)) WHERE place <= 12",
     "upsert_latest": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",

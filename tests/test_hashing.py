@@ -94,6 +94,21 @@ def whole_features(tokens):
     return Counter({f: n for f, n in plain_features(tokens).items() if f[0] != "c"}) + runs
 
 
+def test_hash_features_takes_the_whole_text(spark, tmp_path):
+    from compare import connect, differences
+
+    from quern.plans.oracle import SQL
+    from quern.plans.queries import QUERIES
+
+    spark.createDataFrame(LONG, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = connect(tmp_path)
+    db.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(spark, db, QUERIES["hash_features"], SQL["hash_features"], str(tmp_path)) == ""
+    runs = {i: [n for f, n in whole_features((t or "").split()).items() if f[0] == "c"] for i, t in LONG}
+    got = {r.doc_id: (r.n_distinct, r.n) for r in QUERIES["hash_features"](spark, str(tmp_path)).collect() if r.family == "c"}
+    assert got == {i: (len(n), sum(n)) for i, n in runs.items() if n}
+
+
 def test_hash_embed_takes_the_whole_text(spark, tmp_path):
     from quern.plans.queries import QUERIES
 
